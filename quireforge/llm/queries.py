@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, splitting, survivors, tokens
+from . import mixing, scans, splitting, survivors, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,13 @@ def p7_selection(spark, d):
 def p7_shares(spark, d):
     report = _mix(spark, d)[1]
     return report.select(*[F.round(c, 6).alias(c) if c.endswith("_share") else c for c in report.columns])
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    return scans.Scan(table(spark, d, "pages"), table(spark, d, "documents")).found()
+
+
+@query("p5_paragraphs")
+def p5_paragraphs(spark, d):
+    return scans.Scan(table(spark, d, "pages"), table(spark, d, "documents")).paragraphs()
