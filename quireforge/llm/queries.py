@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, scans, splitting, survivors, tokens
+from . import mixing, pii, scans, splitting, survivors, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,13 @@ def p5_found(spark, d):
 @query("p5_paragraphs")
 def p5_paragraphs(spark, d):
     return scans.Scan(table(spark, d, "pages"), table(spark, d, "documents")).paragraphs()
+
+
+@query("p8_found")
+def p8_found(spark, d):
+    return pii.find_mentions(table(spark, d, "documents")).select("doc_id", "kind", "start_pos").distinct()
+
+
+@query("p8_redacted")
+def p8_redacted(spark, d):
+    return pii.redact(table(spark, d, "documents"))
