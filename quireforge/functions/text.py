@@ -21,7 +21,7 @@ def ascii_fold(c: Column) -> Column:
 def slugify(c: Column) -> Column:
     """ASCII letters and digits in lower case, other runs as one hyphen; more than 80 characters end in a hash."""
     plain = F.regexp_replace(F.regexp_replace(ascii_fold(c), "[^a-z0-9]+", "-"), "^-|-$", "")
-    cut = F.concat(F.regexp_replace(F.substring(plain, 1, SLUG_MOST), "-$", ""), F.lit("-"), F.lower(F.hex(F.xxhash64(c))))
+    cut = F.concat(F.regexp_replace(F.substring(plain, 1, SLUG_MOST), "-$", ""), F.lit("-"), F.substring(F.md5(c), 1, 8))
     return F.when(F.length(plain) > SLUG_MOST, cut).otherwise(plain)
 
 

@@ -166,7 +166,7 @@ def search(index: Index, query: str, limit: int | None = 100) -> DataFrame:
     for at, (phrase, times) in enumerate(weights.items()):
         one = index.postings.where(F.col("term") == phrase[0]).select("chunk_id", F.col("positions").alias("p"))
         for shift, term in enumerate(phrase[1:], 1):
-            other = index.postings.where(F.col("term") == term).select("chunk_id", F.transform("positions", lambda x, s=shift: x - s).alias("q"))
+            other = index.postings.where(F.col("term") == term).select("chunk_id", F.expr(f"transform(positions, x -> x - {shift})").alias("q"))
             one = one.join(other, "chunk_id").select("chunk_id", F.array_intersect("p", "q").alias("p")).where("size(p) > 0")
         row = one.select("chunk_id", F.size("p").alias("tf"), F.lit(at).alias("phrase"), F.lit(times).alias("times"))
         hits = row if hits is None else hits.unionByName(row)

@@ -120,21 +120,24 @@ def find_mentions(chunks: DataFrame, entities: DataFrame, limit: int = AUTOMATON
 
 
 def join_mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    """Mentions by an equality join on the first word of a name, the longest at a place, then left to right."""
-    word = "[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]"
+    """Mentions by an equality join on the first word of a name, the longest at a place, then left to right. Unlike in
+    the automaton, matches inside words hide nothing; names without a letter or digit are not found."""
+    word = "[A-Za-z0-9_]+"
     fold = tx.ascii_fold(F.col("name"))
-    names = entities.select("id", fold.alias("name"), F.regexp_extract(fold, word, 0).alias("first")).groupBy("name", "first").agg(F.min("id").alias("entity_id")).where("first <> ''")
-    longest = names.agg(F.max(F.length("name"))).first()[0] or 0
+    names = entities.where(F.length("name") >= LEAST_NAME).select("id", fold.alias("name")).groupBy("name").agg(F.min("id").alias("entity_id"))
+    names = names.select("name", "entity_id", F.regexp_extract("name", word, 0).alias("first"), F.length(F.regexp_extract("name", "^[^A-Za-z0-9_]*", 0)).alias("lead")).where("first <> ''")
+    reach = names.agg(F.max(F.length("name")), F.max("lead")).first()
+    longest, lead = reach[0] or 0, reach[1] or 0
     low = tx.ascii_fold(F.col("text"))
-    parts = chunks.where("text is not null").select("id", low.alias("low"), F.posexplode(F.regexp_extract_all(low, F.lit(f"(?s)({word})|(.)"), 0)).alias("n", "first"))
-    lens = parts.select("id", "low", "n", "first", F.length("first").alias("size"))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lens.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("int")).where("first rlike '\\\\S'")
-    near = placed.select("id", "start", "first", F.expr(f"substring(low, start, {longest + 2})").alias("raw"), F.expr(f"substring(low, start + 1, {longest + 1})").alias("ahead"))
-    met = near.join(names, "first").where(F.expr("startswith(ahead, name) and not substring(ahead, length(name) + 1, 1) rlike '[A-Za-z0-9_]'"))
-    spans = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.length("name")).alias("size"), "entity_id"))).alias("s"))
+    runs = chunks.where("text is not null").select("id", low.alias("low"), F.regexp_extract_all(low, F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), 0).alias("runs"))
+    ends = F.expr("aggregate(runs, array(0), (a, x) -> concat(a, array(element_at(a, -1) + length(x))))")
+    each = runs.withColumn("at", ends).select("id", "low", F.expr("posexplode(runs)").alias("n", "first"), "at").where(F.col("first").rlike("^[A-Za-z0-9_]")).withColumn("start", F.col("at")[F.col("n")])
+    near = each.select("id", "start", "first", F.expr(f"substring(low, greatest(start - {lead}, 1), {longest + lead + 2})").alias("near"), F.expr(f"start - greatest(start - {lead}, 1) + 1").alias("skip"))
+    met = near.join(names, "first").withColumn("a", F.col("skip") - F.col("lead"))
+    same = F.expr("a >= 0 and start >= lead and substring(near, a + 1, length(name)) = name")
+    free = F.expr("not substring(near, a + 1 + length(name), 1) rlike '[A-Za-z0-9_]' and not (a > 0 and substring(near, a, 1) rlike '[A-Za-z0-9_]')")
+    hits = met.where(same & free).select("id", (F.col("start") - F.col("lead")).alias("start"), (-F.length("name")).alias("size"), "entity_id")
+    spans = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "size", "entity_id"))).alias("s"))
     start = F.struct(F.array().cast("array<struct<start:int,size:int,entity_id:bigint>>").alias("kept"), F.lit(0).alias("at"))
     kept = F.aggregate("s", start, lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), (x["start"] - x["size"]).alias("at"))).otherwise(acc))
     each = spans.select("id", F.explode(kept["kept"]).alias("m")).join(chunks.select("id", "text"), "id")

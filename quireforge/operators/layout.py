@@ -159,7 +159,7 @@ def layout_pages(words: DataFrame) -> DataFrame:
     text, x0, y0, x1, y1). A page is the group, so a group is as large as a page. Pages without words have no blocks."""
     names = [c.split()[0] for c in OUT.split(", ")]
 
-    def run(key, page: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
         width, height = float(page["width"].iloc[0]), float(page["height"].iloc[0])
         out = pd.DataFrame(layout_page(page.reset_index(drop=True), width), columns=names)
         return out.assign(doc_id=key[0], page_no=key[1], width=width, height=height)[["doc_id", "page_no", "width", "height", *names]]
