@@ -119,7 +119,7 @@ def pack_chunks(title: Column, bodies: Column, atomic: Column, most: int = CHUNK
 
 def section_id(doc_id: Column, idx: Column) -> Column:
     ok = (idx < SECTIONS_PER_DOC) & (doc_id >= 0) & (doc_id < (1 << 32))
-    return F.when(ok, doc_id * SECTIONS_PER_DOC + idx).otherwise(F.raise_error(F.lit("more sections than ids")).cast("long"))
+    return F.when(ok | idx.isNull(), doc_id * SECTIONS_PER_DOC + idx).otherwise(F.raise_error(F.lit("more sections than ids")).cast("long"))
 
 
 def recognized_sections(sections: DataFrame, pack: Pack) -> DataFrame:
