@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -130,22 +130,18 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.groupBy("batch").cogroup(table.groupBy("held_by")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
-def token_bytes(spark: SparkSession, folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
-    """(id, bytes) of the vocabulary, a table of fixed size."""
-    return spark.createDataFrame([(i, b) for b, i in _ranks(folder, name).items()], "id int, bytes binary")
+def decode_corpus(encoded: DataFrame, folder: str = TOKENIZERS, name: str = NAME, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text) from ids, by a map-side join with the token-byte table, whose size the vocabulary fixes. An unknown
+    or null id fails. Ids that do not end at a character give the replacement character. Null or no ids give the empty
+    text. Repeated rows stay repeated."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = {i: b for b, i in _ranks(folder, name).items()}
+        for batch in batches:
+            texts = [b"".join(map(table.__getitem__, ids or [])).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-def decode_corpus(encoded: DataFrame, folder: str = TOKENIZERS, name: str = NAME, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text) from ids, by a join with the token-byte table (50,257 rows at most, so broadcast). An unknown id
-    fails. Ids that do not end at a character give the replacement character. No ids give the empty text."""
-    vocabulary = F.broadcast(token_bytes(encoded.sparkSession, folder, name))
-    keyed = encoded.withColumn("row", F.monotonically_increasing_id())
-    each = keyed.select(id_col, "row", F.posexplode("ids").alias("at", "id")).join(vocabulary, "id", "left")
-    checked = each.withColumn("bytes", F.when(F.col("bytes").isNull(), F.raise_error(F.format_string("no token %d", "id")).cast("binary")).otherwise(F.col("bytes")))
-    joined = checked.groupBy(id_col, "row").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("t"))
-    text = F.decode(F.aggregate("t", F.lit(b"").cast("binary"), lambda x, y: F.concat(x, y["bytes"])), "UTF-8")
-    none = encoded.where("ids is null or size(ids) = 0").select(id_col, F.lit("").alias("text"))
-    return joined.select(id_col, text.alias("text")).unionByName(none)
+    return encoded.select(F.col(id_col).alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def count_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, name: str = NAME, keep: tuple[str, ...] = ()) -> DataFrame:
