@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from ..scratch import Scratch, spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+SALTS = 32
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
@@ -109,9 +112,41 @@ _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ic
 _STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou"]
 
 
-@F.pandas_udf(StringType())
-def _stem(words: pd.Series) -> pd.Series:
-    return words.map(porter)
+class _Stems(dict):
+    """Stems of the words that a worker has met; cleared when it holds many."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = stem = porter(word)
+        return stem
+
+
+_stems = _Stems()
+
+
+_POSTING = "term string, chunk_id long, tf int, positions array<int>"
+
+
+def _invert(stemmed: bool):
+    """Postings of each text, and a row without term whose tf is the text's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, ids, places = [], [], []
+            for chunk, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held: dict[str, list[int]] = {}
+                for at, w in enumerate(words):
+                    held.setdefault(_stems[w] if stemmed else w, []).append(at)
+                terms += [None, *held]
+                ids += [chunk] * (len(held) + 1)
+                places += [range(len(words)), *held.values()]
+            tf = [len(p) for p in places]
+            kept = [[] if t is None else p for t, p in zip(terms, places, strict=True)]
+            columns = [pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(tf, pa.int32()), pa.array(kept, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "chunk_id", "tf", "positions"])
+
+    return run
 
 
 class Index:
@@ -130,15 +165,17 @@ class Index:
 
 
 def build_index(chunks: DataFrame, id_col: str = "id", text_col: str = "text", stemmed: bool = True) -> Index:
-    """The inverted index of the texts. Every distinct word is stemmed once. Null texts count as empty ones."""
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("t"))
-    doclen = rows.select("chunk_id", F.size("t").alias("dl"))
-    each = rows.select("chunk_id", F.posexplode("t").alias("at", "word")).groupBy("word", "chunk_id").agg(F.collect_list("at").alias("p"))
-    if not stemmed:
-        return Index(each.select(F.col("word").alias("term"), "chunk_id", F.size("p").alias("tf"), F.array_sort("p").alias("positions")), doclen, False)
-    stems = each.select("word").distinct().select("word", _stem("word").alias("term"))
-    merged = each.join(stems, "word").groupBy("term", "chunk_id").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("positions"))
-    return Index(merged.select("term", "chunk_id", F.size("positions").alias("tf"), "positions"), doclen, True)
+    """The inverted index of the texts, written to the shared folder in the order of terms, so that a search reads only
+    the row groups that can hold its terms. A worker stems every distinct word once. Null texts count as empty ones; rows
+    without id are left out; ids must be unique."""
+    s = Scratch(chunks.sparkSession, "fulltext")
+    texts = spread(chunks.select(F.col(id_col).cast("long").alias("chunk_id"), F.col(text_col).alias("text")).where("chunk_id is not null"))
+    rows = texts.select("chunk_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    # A text is one row, so its words are grouped where it is; only finished postings are shuffled.
+    inverted = rows.mapInArrow(_invert(stemmed), _POSTING)
+    # The postings of a frequent term are dealt to SALTS places; inside a file terms are in order.
+    held = s.cut(inverted.repartition("term", F.pmod("chunk_id", F.lit(SALTS))).sortWithinPartitions("term", "chunk_id"))
+    return Index(held.where("term is not null"), held.where("term is null").select("chunk_id", F.col("tf").alias("dl")), stemmed)
 
 
 def query_phrases(spark: SparkSession, query: str, stemmed: bool = True) -> list[list[str]]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..scratch import Scratch
+from ..scratch import Scratch, spread
 
 LEAST_NAME = 3
 AUTOMATON_NAMES = 500_000
@@ -116,7 +116,7 @@ def find_mentions(chunks: DataFrame, entities: DataFrame, limit: int = AUTOMATON
                     rows.append((cid, value, a, a + len(text[s:e].encode())))
             yield pd.DataFrame(rows, columns=["chunk_id", "entity_id", "start_off", "end_off"])
 
-    return chunks.select("id", "text").where("text is not null").mapInPandas(run, "chunk_id long, entity_id long, start_off int, end_off int")
+    return spread(chunks.select("id", "text").where("text is not null")).mapInPandas(run, "chunk_id long, entity_id long, start_off int, end_off int")
 
 
 def join_mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:

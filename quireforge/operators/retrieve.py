@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..scratch import Scratch
 from . import fulltext, graph
 
 NAME_HITS, MOST_NEIGHBOURS = 20, 20
@@ -73,11 +74,13 @@ def explore(g: dict[str, DataFrame], index: fulltext.Index, query: str, options:
     Seeds are entities whose name holds the query and those that the best chunks define; the graph is walked from them;
     the definition of every entity met is scored, and chunks that matched without defining anything follow."""
     o = options or ExploreOptions()
-    fts = fulltext.search(index, query, o.candidate_limit)
-    names = name_search(g["entities"], query, NAME_HITS).select("id", F.lit(True).alias("named"))
+    # The hits, names and seeds are a few rows that several joins read; each is found once.
+    s = Scratch(g["chunks"].sparkSession, "explore")
+    fts = s.cut(fulltext.search(index, query, o.candidate_limit))
+    names = s.cut(name_search(g["entities"], query, NAME_HITS).select("id", F.lit(True).alias("named")))
     owners = g["entity_defs"].where("is_primary").groupBy("chunk_id").agg(F.min("entity_id").alias("id"))
-    seeds = names.select("id").union(fts.join(owners, "chunk_id").select("id")).distinct()
-    reached = graph.expand(seeds, g["edges"], o.hops) if o.hops > 0 else seeds.limit(0).withColumn("hop", F.lit(0))
+    seeds = s.cut(names.select("id").union(fts.join(owners, "chunk_id").select("id")).distinct())
+    reached = s.cut(graph.expand(seeds, g["edges"], o.hops)) if o.hops > 0 else seeds.limit(0).withColumn("hop", F.lit(0))
     candidates = seeds.withColumn("hop", F.lit(None).cast("int")).unionByName(reached)
     ents = g["entities"].select("id", "name", "kind", "centrality", "slug")
     found = candidates.join(ents, "id").join(primary_definitions(g["entity_defs"]).withColumnRenamed("entity_id", "id"), "id").join(names, "id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import layout
+from ..scratch import spread
 from ..session import table
 from ..sources import plain, rows
 from . import query
@@ -141,7 +142,7 @@ def _blocks_of(spark, d, kind, parse):
             yield pd.DataFrame(out, columns=["doc_id", "ord", "kind", "block_text", "heading_level"])
 
     docs = table(spark, d, "documents").where((F.col("kind") == kind) & F.col("text").isNotNull())
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ord int, kind string, block_text string, heading_level int")
+    return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, ord int, kind string, block_text string, heading_level int")
 
 
 @query("markdown_blocks")
