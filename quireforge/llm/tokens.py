@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
+from ..scratch import Scratch, spread
 
 TOKENIZERS = os.environ.get("QUIREFORGE_TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
@@ -82,7 +82,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def split_corpus(documents: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(batch, doc_id, at): the numbers of each document's words in order; (batch, at, word): what the numbers mean."""
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    split = scratch.cut(rows.mapInArrow(_split, _SPLIT))
+    split = scratch.cut(spread(rows).mapInArrow(_split, _SPLIT))
     docs = split.where("words is null").select("batch", "doc_id", "at")
     words = split.where("words is not null").select("batch", F.posexplode("words").alias("at", "word"))
     return docs, words
@@ -155,4 +155,4 @@ def count_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             n = [len(encode(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=schema.names)
 
-    return documents.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return spread(documents.select(*kept, F.col(text_col).alias("__text"))).mapInArrow(run, schema)
