@@ -17,11 +17,14 @@ def fold_title(value: Column) -> Column:
     return F.when(F.length(kept) > 0, kept)
 
 
+def strip_heading(value: Column) -> Column:
+    """A link target without heading after the title and file ending."""
+    return F.regexp_replace(F.regexp_replace(value, r"(?s)(?<=.)#.*$", ""), r"(?i)\.(md|markdown|adoc|asciidoc|txt|url|urls|pdf|html?)\s*$", "")
+
+
 def strip_link(value: Column) -> Column:
     """A link target without leading folder, heading after the title and file ending."""
-    title = F.regexp_replace(value, r"(?s)(?<=.)#.*$", "")
-    title = F.regexp_replace(title, r"(?s)^.*[/\\](?=.*[^\s/\\])", "")
-    return F.regexp_replace(title, r"(?i)\.(md|markdown|adoc|asciidoc|txt|url|urls|pdf|html?)\s*$", "")
+    return F.regexp_replace(strip_heading(value), r"(?s)^.*[/\\](?=.*[^\s/\\])", "")
 
 
 def _present(value: Column) -> Column:
@@ -29,16 +32,16 @@ def _present(value: Column) -> Column:
 
 
 def references(df: DataFrame, fields: list[str], id_col: str, at_col: str) -> DataFrame:
-    """One row per distinct reference: ref_id, field, exact (the fold of the whole value), key (without folder, heading
-    and ending), seen_at. Null and blank values refer to nothing."""
+    """One row per distinct reference: ref_id, field, seen_at, exact (the fold of the whole value), key (without folder,
+    heading and ending), others (what else the value can name: with its folder, or as a whole). Null and blank values
+    refer to nothing."""
     rows = df.select(F.col(id_col).alias("ref_id"), F.col(at_col).alias("seen_at"), *fields).distinct()
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
     long = rows.select("ref_id", "seen_at", F.explode(each).alias("r")).select("ref_id", "seen_at", "r.field", "r.value")
-    return long.where(_present(F.col("value"))).select(
-        "ref_id", "field", "seen_at",
-        F.coalesce(fold_title(strip_link(F.col("value"))), F.lit("")).alias("key"),
-        F.coalesce(fold_title(F.col("value")), F.lit("")).alias("exact"),
-    )
+    fold = lambda c: F.coalesce(fold_title(c), F.lit(""))
+    value = F.col("value")
+    named = long.where(_present(value)).select("ref_id", "field", "seen_at", fold(strip_link(value)).alias("key"), fold(strip_heading(value)).alias("kept"), fold(value).alias("exact"))
+    return named.select("ref_id", "field", "seen_at", "key", "exact", F.array_except(F.array("kept", "exact"), F.array("key")).alias("others"))
 
 
 def resolve(refs: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -70,9 +73,11 @@ def link_references(wikilinks: DataFrame, documents: DataFrame) -> DataFrame:
     live = documents.where("deleted_at is null").select(fold_title(F.col("title")).alias("key"), F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp_ntz")).alias("at"))
     live = s.cut(live.where("key is not null"))
     found = resolve(refs, live, s)
-    plain = found.where("live or exact = key")
-    again = resolve(found.where("live is null and exact <> key").select("ref_id", "field", "seen_at", F.col("exact").alias("key"), "exact"), live, s)
-    return plain.unionByName(again).select("ref_id", "field", "seen_at", F.coalesce("live", F.lit(False)).alias("live"), "first_at")
+    plain = found.where("live or size(others) = 0")
+    open_ = found.where("live is null and size(others) > 0").select("ref_id", "field", "seen_at", "exact", F.explode("others").alias("key"))
+    again = resolve(open_, live, s).groupBy("ref_id", "field", "seen_at", "exact").agg(F.max("live").alias("live"), F.min("first_at").alias("first_at"))
+    cols = ["ref_id", "field", "seen_at", F.coalesce("live", F.lit(False)).alias("live"), "first_at"]
+    return plain.select(*cols).unionByName(again.select(*cols))
 
 
 def orphan_report(resolved: DataFrame) -> DataFrame:

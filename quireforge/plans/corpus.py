@@ -73,11 +73,12 @@ _REFS = r"""
 WITH links AS (SELECT DISTINCT link_id, target, source_document, seen_at FROM wikilinks),
 long AS (SELECT link_id, seen_at, 'target' AS field, target AS value FROM links UNION ALL SELECT link_id, seen_at, 'source_document', source_document FROM links),
 refs AS (SELECT *, regexp_replace(lower(value), '[^\p{L}\p{N}\p{M}]+', '', 'g') AS exact,
-  regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(value, '(.)#(.|\n)*$', '\1'), '^.*[/\\](.*[^\s/\\])', '\1'), '(?i)\.(md|markdown|adoc|asciidoc|txt|url|urls|pdf|html?)\s*$', '')), '[^\p{L}\p{N}\p{M}]+', '', 'g') AS key
+  regexp_replace(regexp_replace(value, '(.)#(.|\n)*$', '\1'), '(?i)\.(md|markdown|adoc|asciidoc|txt|url|urls|pdf|html?)\s*$', '') AS named,
+  regexp_replace(lower(named), '[^\p{L}\p{N}\p{M}]+', '', 'g') AS kept, regexp_replace(lower(regexp_replace(named, '^.*[/\\](.*[^\s/\\])', '\1')), '[^\p{L}\p{N}\p{M}]+', '', 'g') AS key
   FROM long WHERE value IS NOT NULL AND regexp_matches(value, '[^\s\x{00A0}\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}\x{FEFF}]')),
 live AS (SELECT regexp_replace(lower(title), '[^\p{L}\p{N}\p{M}]+', '', 'g') AS key, min(coalesce(ingested_at, TIMESTAMP '1970-01-01')) AS first_at FROM documents WHERE deleted_at IS NULL AND title IS NOT NULL GROUP BY 1),
-found AS (SELECT r.link_id, r.field, r.seen_at, a.key IS NOT NULL OR b.key IS NOT NULL AS live, coalesce(a.first_at, b.first_at) AS first_at FROM refs r
-  LEFT JOIN live a ON a.key = r.key AND r.key <> '' LEFT JOIN live b ON b.key = r.exact AND r.exact <> '')
+found AS (SELECT r.link_id, r.field, r.seen_at, coalesce(a.key, b.key, c.key) IS NOT NULL AS live, coalesce(a.first_at, least(b.first_at, c.first_at)) AS first_at FROM refs r
+  LEFT JOIN live a ON a.key = r.key AND r.key <> '' LEFT JOIN live b ON b.key = r.exact AND r.exact <> '' LEFT JOIN live c ON c.key = r.kept AND r.kept <> '')
 """
 
 

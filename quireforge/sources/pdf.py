@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SCAN_DPI = 300
 WORDS = "page_no int, width double, height double, text string, x0 double, y0 double, x1 double, y1 double, confidence float"
@@ -133,5 +132,16 @@ def merge_backends(native: DataFrame, scanned: DataFrame, mode: str = "auto", le
     return native.join(thin, ["path", "page_no"], "left_anti").unionByName(scanned.join(thin, ["path", "page_no"], "left_semi"))
 
 
-def page_numbers(words: DataFrame) -> DataFrame:
-    return words.withColumn("n_pages", F.max("page_no").over(Window.partitionBy("path")))
+def parse_page_count(info: str) -> int:
+    """The number of pages that pdfinfo states; 0 without one."""
+    found = re.search(r"^Pages:\s*(\d+)", info, re.M)
+    return int(found[1]) if found else 0
+
+
+def page_count(path: str) -> int:
+    return parse_page_count(_run(["pdfinfo", path]).decode("utf-8", "replace"))
+
+
+def page_range(n_pages: int, first: int | None = None, last: int | None = None) -> range:
+    """The pages from first to last that the file has, all by default."""
+    return range(max(first or 1, 1), min(last or n_pages, n_pages) + 1)
