@@ -138,7 +138,12 @@ def decode_corpus(encoded: DataFrame, folder: str = TOKENIZERS, name: str = NAME
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {i: b for b, i in _ranks(folder, name).items()}
         for batch in batches:
-            texts = [b"".join(map(table.__getitem__, ids or [])).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            ids = batch.column(1)
+            ids = ids.fill_null([]) if ids.null_count else ids
+            # One row's ids at a time become Python numbers; a batch of them would take many times its size.
+            bounds, flat = ids.offsets.to_numpy(), ids.values
+            rows = ((int(a), int(b)) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+            texts = [b"".join(map(table.__getitem__, flat[a:b].to_pylist())).decode("utf-8", "replace") for a, b in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col(id_col).alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
