@@ -32,7 +32,7 @@ def mix_shares(targets: DataFrame, totals: DataFrame, budget: int | None) -> Dat
     """Per mix and source: target_share among all targets, fair_share among those with tokens, total, max_repeats and
     the mix's budget: the most tokens for which every source with documents can give its share, at most ``budget``."""
     wanted = targets.where("mix_name is not null and source is not null and target_weight > 0").groupBy("mix_name", "source").agg(
-        F.sum("target_weight").alias("weight"), F.greatest(F.min("max_repeats"), F.lit(0)).alias("max_repeats")
+        F.sum("target_weight").alias("weight"), F.when(F.min("max_repeats").isNotNull(), F.greatest(F.min("max_repeats"), F.lit(0))).alias("max_repeats")
     )
     met = wanted.join(totals, "source", "left").withColumn("total", F.coalesce("total", F.lit(0)))
     has = (F.col("total") > 0) & (F.coalesce("max_repeats", F.lit(1)) > 0)

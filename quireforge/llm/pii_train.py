@@ -267,6 +267,9 @@ def train(texts: list[str], names: list[tuple[str, str]], hidden: int = HIDDEN,
     rng = random.Random(seed)
     positive, negative = labelled_windows(texts, Labeller(names, texts))
     log(f"{len(positive)} windows with mentions, {len(negative)} without")
+    if not positive:
+        raise ValueError("no labelled mention in the sample")
+    negative = negative or positive
     model, began, shown = Model(hidden, seed), time.time(), 0.0
     for step in range(steps):
         part = step / steps
