@@ -19,7 +19,8 @@ from . import pii
 
 SAMPLE_DOCUMENTS = 10_000
 """At most so many documents, those with the smallest ids, give the labelled sample."""
-HIDDEN, BATCH, STEPS, SEED = 32, 128, 2600, 11
+HIDDEN, BATCH, STEPS, SEED = 32, 128, 3600, 11
+_HARD = re.compile(r"@|\d[\d .()/–-]{4,}\d|[A-Z]+\d+")
 
 _C = pii._CAP
 _W = rf"[{_C}][\w'’]+(?:-[{_C}][\w'’]+)*"
@@ -86,7 +87,7 @@ class Labeller:
         at = 0
         while m := FULL.search(text, at):
             s, e = m.span()
-            while t := pii._TITLE.match(text, s, e):
+            while t := pii._TITLE.match(text, s, e) or pii._SHORT_TITLE.match(text, s):
                 s = t.end()
             words = re.findall(r"[^\W\d_]+", m[0])
             cue = bool(BEFORE.search(text, max(0, s - 24), s)) + bool(AFTER.match(text, e))
@@ -270,13 +271,15 @@ def train(texts: list[str], names: list[tuple[str, str]], hidden: int = HIDDEN,
     if not positive:
         raise ValueError("no labelled mention in the sample")
     negative = negative or positive
+    # Numbers and signs that are no mention are rare among the windows, but the likeliest to be taken for one.
+    hard = [x for x in negative if _HARD.search(x[0])] or negative
     model, began, shown = Model(hidden, seed), time.time(), 0.0
     for step in range(steps):
         part = step / steps
         if time.time() - began > seconds:
             break
         half = batch // 2
-        pool = [vary(w, sp, rng) for w, sp in rng.choices(positive, k=half * 4)] + rng.choices(negative, k=(batch - half) * 4)
+        pool = [vary(w, sp, rng) for w, sp in rng.choices(positive, k=half * 4)] + rng.choices(negative, k=(batch - half) * 3) + rng.choices(hard, k=batch - half)
         pool.sort(key=lambda x: len(x[0]) + rng.random() * 20)
         at = rng.randrange(4) * batch
         chosen = pool[at : at + batch]
