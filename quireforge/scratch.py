@@ -36,22 +36,18 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def cut(self, df: DataFrame, partitioned_by: str | None = None) -> DataFrame:
+    def cut(self, df: DataFrame) -> DataFrame:
         path, self.n = f"{self.base}/{self.n}", self.n + 1
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        if partitioned_by:
-            writer = writer.partitionBy(partitioned_by)
-        writer.parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
-        self._keep = getattr(self, "_keep", []) + [back]
+        self.paths[id(back)] = (back, path)
         return back
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that ``cut`` wrote, once every frame that reads it has been written itself."""
-        path = self.paths.pop(id(df), None)
+        _, path = self.paths.pop(id(df), (None, None))
         if path:
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
