@@ -57,6 +57,21 @@ def core(token: str) -> str:
     return token.strip(_EDGE).lower()
 
 
+def _affixes(token: str) -> tuple[str, str]:
+    """What core() strips before and behind."""
+    return token[: len(token) - len(token.lstrip(_EDGE))], token[len(token.rstrip(_EDGE)) :]
+
+
+def opened(token: str) -> str:
+    """The core with the '(' beside it, which can be a c; empty if there is none or the token has a ')'."""
+    w = core(token)
+    if not w or "(" not in token or ")" in token:
+        return ""
+    lead, tail = _affixes(token)
+    o = "(" * lead.endswith("(") + w + "(" * tail.startswith("(")
+    return o if o != w else ""
+
+
 def _roman(s: str) -> int | None:
     total = last = 0
     for c in reversed(s):
@@ -100,7 +115,7 @@ def _count_words(frame: Columns) -> Iterator[Columns]:
         starts.update(line_key(" ".join(line.split()[:2])) for line in text.split("\n"))
     words = Counter()
     for token, n in raw.items():
-        if n > 0 and (w := core(token)):
+        if n > 0 and (w := opened(token) or core(token)):
             words[w] += n
     starts.pop("", None)
     yield {"kind": ["w"] * len(words), "word": list(words), "n": list(words.values())}
@@ -209,12 +224,33 @@ def running_lines(edges: DataFrame, starts: DataFrame, titles: DataFrame) -> Dat
     return lines.withColumn("furniture", F.coalesce(at_number | titled | repeated | beside | footer, F.lit(False))).select(*edges.columns, "furniture")
 
 
+def _settle_opened(counts: DataFrame) -> DataFrame:
+    """counts in which a word keeps a '(' at its edge only if that is a misread c.
+
+    It is where words of the same strokes with a c in its place are 25 times as frequent as what the bracket leaves, and
+    twice as frequent as the word with the bracket. Else the bracket is punctuation and the word counts without it."""
+    edged = F.startswith("word", F.lit("(")) | F.endswith("word", F.lit("("))
+    plain, rest = counts.where(~edged), F.regexp_replace("word", r"^\(|\($", "")
+    edge = lambda x: F.struct(F.startswith(x, F.lit("c")).alias("c_first"), F.endswith(x, F.lit("c")).alias("c_last"))
+    sound = plain.where(~F.col("word").rlike(_MIXED.pattern.replace("[^\\W\\d_]", "\\p{L}"))).withColumn("strokes", _stroke_key("word"))
+    first, last = F.startswith("word", F.lit("(")), F.endswith("word", F.lit("("))
+    tops = sound.groupBy("strokes").agg(F.max("n").alias("rest_n"))
+    meant = sound.groupBy("strokes", edge(F.col("word")).alias("edge")).agg(F.max("n").alias("c_n"))
+    asked = counts.where(edged).select("word", "n", rest.alias("rest"), first.alias("first"), last.alias("last"))
+    asked = asked.withColumn("strokes", _stroke_key("word")).withColumn("rest_strokes", _stroke_key("rest"))
+    found = asked.join(meant, "strokes").where("(edge.c_first or not first) and (edge.c_last or not last)").groupBy("word").agg(F.max("c_n").alias("c_n"))
+    met = asked.join(found, "word", "left").join(tops.withColumnRenamed("strokes", "rest_strokes"), "rest_strokes", "left")
+    misread = F.coalesce((F.col("c_n") >= 25 * F.coalesce("rest_n", F.lit(0))) & (F.col("c_n") >= 2 * F.col("n")) & (F.length("word") >= 3), F.lit(False))
+    settled = met.select(F.when(misread, F.col("word")).otherwise(F.col("rest")).alias("word"), "n")
+    return plain.select("word", "n").unionByName(settled).groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def vocabulary(counts: DataFrame) -> DataFrame:
     """word, n, best: the word that is meant; best = word where it is sound.
 
     A word is misread if one with the same strokes is far more frequent, or if digits or signs stand between its
     letters. Then best is the nearest in writing of the frequent words of its strokes, or null if there is none."""
-    keyed = counts.withColumn("strokes", _stroke_key("word"))
+    keyed = _settle_opened(counts).withColumn("strokes", _stroke_key("word"))
     mixed = F.col("word").rlike(_MIXED.pattern.replace("[^\\W\\d_]", "\\p{L}"))
     keyed = keyed.withColumn("mixed", mixed)
     # Of words with the same strokes the few most frequent can be meant; of these the one that is nearest in writing.
@@ -222,7 +258,7 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     few = keyed.where("not mixed").withColumn("place", F.row_number().over(order)).where(F.col("place") <= MEANT)
     few = few.groupBy("strokes").agg(F.max("n").alias("top_n"), F.collect_list(F.struct("n", "word")).alias("few"))
     met = keyed.join(few, "strokes", "left")
-    plain = F.regexp_replace("word", r"[|~·'’]", "")
+    plain = F.translate(F.regexp_replace("word", r"[|~·'’]", ""), "(", "c")
     near = F.transform(F.filter("few", lambda x: (x["word"] != F.col("word")) & (x["n"] >= 2 * F.col("n")) & (x["n"] >= 0.02 * F.col("top_n"))), lambda x: F.struct((-F.levenshtein(x["word"], plain)).alias("d"), x["n"].alias("n"), x["word"].alias("word")))
     met = met.withColumn("top", F.array_max(near))
     rare = (F.col("top_n") >= 25 * F.col("n")) | ((F.col("n") <= 3) & (F.col("top_n") >= 2 * F.col("n")))
@@ -250,6 +286,8 @@ def _odd_words(common: set[str]):
                     w = core(token)
                     if w and w not in common:
                         odd.append((pid, i + 1, w))
+                    if o := opened(token):
+                        odd.append((pid, i + 1, o))
                 held = cut
                 if cut and len(full) - at > TAIL:
                     hyphens.append((pid, i + 1, tokens[-1], full[at + 1] + 1, lines[full[at + 1]].split()[0]))
@@ -273,31 +311,45 @@ def _edge_breaks(lines: DataFrame) -> DataFrame:
     return cut.select("id", "line_no", F.col("last").alias("word"), then["id"].alias("next_id"), then["line_no"].alias("next_line"), then["first"].alias("next")).where("next is not null")
 
 
-@F.pandas_udf(StructType([StructField(c, StringType()) for c in ("a", "b", "joined", "kept", "sign")]))
+_PARTS = ("a", "b", "joined", "kept", "sign", "a_open", "b_open", "joined_open", "kept_open")
+
+
+@F.pandas_udf(StructType([StructField(c, StringType()) for c in _PARTS]))
 def _break_parts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     rows = []
     for x, y in zip(a, b, strict=True):
-        sign, x, y = x[-1], x[:-1].lstrip(_EDGE).lower(), core(y)
-        rows.append((x, y, stroke_key(x + y), stroke_key(x) + "-" + stroke_key(y), sign))
-    return pd.DataFrame(rows, columns=["a", "b", "joined", "kept", "sign"])
+        sign, front = x[-1], x[:-1]
+        x, y, ys = front.lstrip(_EDGE).lower(), core(y), opened(y)
+        xs = "(" + x if ")" not in front and _affixes(front)[0].endswith("(") else ""
+        other = (xs or x, ys or y) if xs or ys else (None, None)
+        keys = [(stroke_key(p + q), stroke_key(p) + "-" + stroke_key(q)) if p else (None, None) for p, q in ((x, y), other)]
+        rows.append((x, y, *keys[0], sign, *other, *keys[1]))
+    return pd.DataFrame(rows, columns=list(_PARTS), dtype=object)
 
 
 def judge_breaks(breaks: DataFrame, words: DataFrame) -> DataFrame:
     """breaks with parts a and b, ``broken``, and best: the whole word by the vocabulary or just the parts joined.
 
     A hyphen belongs to the word if the vocabulary has the hyphenated word and not, or far less often, the joined one.
-    Soft hyphens and not-signs are always breaks. A hyphen before a conjunction or a capital stays."""
+    Soft hyphens and not-signs are always breaks. A hyphen before a conjunction or a capital stays. A '(' at the edge of
+    a part is kept as a misread c if only so the vocabulary has the word, or has it 25 times as often."""
     parts = breaks.withColumn("p", _break_parts("word", "next")).select(*breaks.columns, "p.*").where("a <> '' and b <> ''")
     by_key = words.where("not misread").select(_stroke_key("word").alias("k"), "word", "n").groupBy("k").agg(F.max(F.struct("n", "word")).alias("v"))
-    pairs = parts.select("joined", "kept").distinct()
-    asked = pairs.select(F.col("joined").alias("k")).union(pairs.select("kept")).distinct().join(by_key, "k")
-    met = parts.join(asked.select(F.col("k").alias("joined"), F.col("v").alias("one")), "joined", "left").join(asked.select(F.col("k").alias("kept"), F.col("v").alias("two")), "kept", "left")
+    keys = ("joined", "kept", "joined_open", "kept_open")
+    asked = parts.select(F.explode(F.array(*keys)).alias("k")).where("k is not null").distinct().join(by_key, "k")
+    met = parts
+    for k in keys:
+        met = met.join(asked.select(F.col("k").alias(k), F.col("v").alias(f"v_{k}")), k, "left")
+    seen = lambda *ks: F.greatest(*[F.coalesce(F.col(f"v_{k}.n"), F.lit(0)) for k in ks])
+    bracket = (seen("joined_open", "kept_open") > 0) & (seen("joined_open", "kept_open") >= 25 * seen("joined", "kept"))
+    read = lambda c, o: F.when(bracket, F.col(o)).otherwise(F.col(c)).alias(c)
+    met = met.select(*breaks.columns, "sign", read("a", "a_open"), read("b", "b_open"), read("v_joined", "v_joined_open").alias("one"), read("v_kept", "v_kept_open").alias("two"))
     n1, n2 = F.coalesce("one.n", F.lit(0)), F.coalesce("two.n", F.lit(0))
     soft = F.col("sign").isin("\xad", "¬")
     joins = F.col("b").isin("und", "oder", "and", "or", "et", "ou", "y", "o", "bzw")
     letters = F.col("a").rlike(r"\p{L}[^\s\p{L}]?$") & F.col("b").rlike(r"^[^\s\p{L}]?\p{L}")
     broken = letters & (soft | (~joins & ((n2 == 0) | (n1 > n2))))
-    return met.withColumn("broken", F.coalesce(broken, F.lit(False))).withColumn("best", F.coalesce("one.word", F.concat("a", "b"))).withColumn("sure", n1 > 0).drop("one", "two", "joined", "kept")
+    return met.withColumn("broken", F.coalesce(broken, F.lit(False))).withColumn("best", F.coalesce("one.word", F.concat("a", "b"))).withColumn("sure", n1 > 0).drop("one", "two")
 
 
 class Scan:
@@ -355,8 +407,10 @@ class Scan:
 
 def _like(word: str, token: str) -> str:
     """word in the letter case of token, with its punctuation."""
-    inner = token.strip(_EDGE)
-    lead, tail = token[: len(token) - len(token.lstrip(_EDGE))], token[len(token.rstrip(_EDGE)) :]
+    inner, (lead, tail) = token.strip(_EDGE), _affixes(token)
+    if (o := opened(token)) and stroke_key(o) == stroke_key(word):
+        # A bracket that was read as a letter is none of the punctuation.
+        lead, tail = lead[: len(lead) - o.startswith("(")], tail[o.endswith("(") :]
     if len(inner) > 1 and inner.upper() == inner and re.search(r"[^\W\d_]{2}", inner):
         word = word.upper()
     elif inner[:1].isupper():
@@ -379,7 +433,7 @@ def _page_paragraphs(frame: Columns) -> Iterator[Columns]:
             if not line.strip():
                 blank = True
                 continue
-            tokens = [_like(b, t) if (b := fixes.get((i, core(t)))) else t for t in line.split()]
+            tokens = [_like(b, t) if (b := fixes.get((i, opened(t))) or fixes.get((i, core(t)))) else t for t in line.split()]
             if blank and words and open_cut is None:
                 page.append((opens, " ".join(words), False, None, None))
                 words, opens = [], True

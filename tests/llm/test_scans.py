@@ -70,6 +70,17 @@ def test_page_numbers(text, want):
     assert scans.page_number(text) == want
 
 
+def test_brackets_that_were_a_c(spark):
+    body = "The copied courtyard of mosaic (see the key) was copied again, and the courtyard of old mosaic (lock the mill) has a lock.\n" * 3
+    noise = "One (opied line\nand a (ourtyard, then\nsome mosai( of it\nsee (lock of the mill\nwith the (ourt-\nyard behind. A mer-\n(hants lamp"
+    s = scan(spark, [(i, 1, i, body + "A merchants lamp.\nA merchants key.\n") for i in range(1, 9)] + [(9, 1, 9, noise)])
+    assert {n for (i, n), k in kinds(s.found()).items() if i == 9 and "misread" in k} == {1, 2, 3, 5, 7}
+    assert not any("misread" in k for (i, _), k in kinds(s.found()).items() if i != 9)
+    text = " ".join(r["text"] for r in s.paragraphs().collect())
+    assert "One copied line and a courtyard, then some mosaic of it see (lock of the mill with the courtyard behind. A merchants lamp" in text
+    assert "mosaic (see the key)" in text
+
+
 def test_lone_numbers_in_the_text_stay(spark):
     pages = [(i, d, p, t.replace("\nWater", "\n\n904\n\nHarbor: 671\n\nWater")) for i, d, p, t in book()]
     marked = {k for k, v in kinds(scan(spark, pages, [(1, "The Granary of Losebo")]).found()).items() if "furniture" in v}
