@@ -13,9 +13,12 @@ from ..scratch import Scratch, spread
 
 LEAST_NAME = 3
 AUTOMATON_NAMES = 500_000
-"""Up to so many names go to the workers as one automaton; more are joined by their first word."""
+"""So many names go to the workers as one automaton; more are dealt to several, whose matches are settled together."""
+_MENTION = "chunk_id long, entity_id long, start_off int, end_off int"
 DAMPING, ROUNDS = 0.85, 20
 LINK_WEIGHT = 2.0
+_FOLD = str.maketrans(tx.UPPER, tx.LOWER)
+_WORD = set(tx.LOWER + tx.UPPER + "0123456789_")
 
 
 def entity_id(kind: Column, slug: Column) -> Column:
@@ -55,23 +58,30 @@ def fields_of(named: DataFrame) -> DataFrame:
     return each.groupBy("entity_id", "doc_id", F.col("f.key").alias("key")).agg(F.max_by("f.value", "seq").alias("value"))
 
 
+def longest_matches(text: str, automaton) -> list[tuple[int, int, int, bool]]:
+    """(start, end, value, free) of the longest match at each place, in order; free ones stand between ASCII word borders."""
+    low = text.translate(_FOLD)
+    best: dict[int, tuple[int, int]] = {}
+    for last, (size, value) in automaton.iter(low):
+        start = last - size + 1
+        if start not in best or size > best[start][0]:
+            best[start] = (size, value)
+    free = lambda s, e: (s == 0 or text[s - 1] not in _WORD) and (e == len(text) or text[e] not in _WORD)
+    return [(s, s + size, value, free(s, s + size)) for s, (size, value) in sorted(best.items())]
+
+
 def scan_texts(texts: list[str], automaton) -> list[list[tuple[int, int, int]]]:
     """(start, end, value) of leftmost-longest matches that do not overlap and stand between ASCII word borders.
 
     A match that fails at the borders still hides what overlaps it."""
-    fold = str.maketrans(tx.UPPER, tx.LOWER)
-    word = set(tx.LOWER + tx.UPPER + "0123456789_")
     out = []
     for text in texts:
-        found, at, kept = [], 0, []
-        if text:
-            low = text.translate(fold)
-            found = sorted(((end - size + 1, -size, value) for end, (size, value) in automaton.iter(low)), key=lambda x: x[:2])
-        for start, size, value in found:
+        at, kept = 0, []
+        for start, end, value, free in longest_matches(text, automaton) if text else []:
             if start < at:
                 continue
-            at = end = start - size
-            if (start == 0 or text[start - 1] not in word) and (end == len(text) or text[end] not in word):
+            at = end
+            if free:
                 kept.append((start, end, value))
         out.append(kept)
     return out
@@ -82,9 +92,8 @@ def build_automaton(names: list[tuple[str, int]]):
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    fold = str.maketrans(tx.UPPER, tx.LOWER)
     for name, value in names:
-        low = name.translate(fold)
+        low = name.translate(_FOLD)
         if len(name) >= LEAST_NAME and not a.exists(low):
             a.add_word(low, (len(low), value))
     if len(a):
@@ -95,15 +104,14 @@ def build_automaton(names: list[tuple[str, int]]):
 def find_mentions(chunks: DataFrame, entities: DataFrame, limit: int = AUTOMATON_NAMES) -> DataFrame:
     """(chunk_id, entity_id, start_off, end_off) in UTF-8 bytes. entities: id, name, and first_seq for ties.
 
-    Up to ``limit`` names every worker holds one automaton; above that names meet texts by their first word in a
-    shuffle join, which sees only names that begin and end at word borders."""
+    Up to ``limit`` names every worker holds one automaton; above that ``join_mentions`` finds the same rows."""
     order = ["first_seq", "id"] if "first_seq" in entities.columns else ["id"]
     usable = entities.where(F.length("name") >= LEAST_NAME)
     names = [(r["name"], r["id"]) for r in usable.orderBy(*order).select("name", "id").limit(limit + 1).collect()]
     if len(names) > limit:
-        return join_mentions(chunks, usable)
+        return join_mentions(chunks, usable, limit)
     if not names:
-        return chunks.sparkSession.createDataFrame([], "chunk_id long, entity_id long, start_off int, end_off int")
+        return chunks.sparkSession.createDataFrame([], _MENTION)
     shared = chunks.sparkSession.sparkContext.broadcast(names)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,33 +124,66 @@ def find_mentions(chunks: DataFrame, entities: DataFrame, limit: int = AUTOMATON
                     rows.append((cid, value, a, a + len(text[s:e].encode())))
             yield pd.DataFrame(rows, columns=["chunk_id", "entity_id", "start_off", "end_off"])
 
-    return spread(chunks.select("id", "text").where("text is not null")).mapInPandas(run, "chunk_id long, entity_id long, start_off int, end_off int")
-
-
-def join_mentions(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    """Mentions by an equality join on the first word of a name, the longest at a place, then left to right. Unlike in
-    the automaton, matches inside words hide nothing; names without a letter or digit are not found."""
-    word = "[A-Za-z0-9_]+"
-    fold = tx.ascii_fold(F.col("name"))
-    names = entities.where(F.length("name") >= LEAST_NAME).select("id", fold.alias("name")).groupBy("name").agg(F.min("id").alias("entity_id"))
-    names = names.select("name", "entity_id", F.regexp_extract("name", word, 0).alias("first"), F.length(F.regexp_extract("name", "^[^A-Za-z0-9_]*", 0)).alias("lead")).where("first <> ''")
-    reach = names.agg(F.max(F.length("name")), F.max("lead")).first()
-    longest, lead = reach[0] or 0, reach[1] or 0
-    low = tx.ascii_fold(F.col("text"))
-    runs = chunks.where("text is not null").select("id", low.alias("low"), F.regexp_extract_all(low, F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), 0).alias("runs"))
-    ends = F.expr("aggregate(runs, array(0), (a, x) -> concat(a, array(element_at(a, -1) + length(x))))")
-    each = runs.withColumn("at", ends).select("id", "low", F.expr("posexplode(runs)").alias("n", "first"), "at").where(F.col("first").rlike("^[A-Za-z0-9_]")).withColumn("start", F.col("at")[F.col("n")])
-    near = each.select("id", "start", "first", F.expr(f"substring(low, greatest(start - {lead}, 1), {longest + lead + 2})").alias("near"), F.expr(f"start - greatest(start - {lead}, 1) + 1").alias("skip"))
-    met = near.join(names, "first").withColumn("a", F.col("skip") - F.col("lead"))
-    same = F.expr("a >= 0 and start >= lead and substring(near, a + 1, length(name)) = name")
-    free = F.expr("not substring(near, a + 1 + length(name), 1) rlike '[A-Za-z0-9_]' and not (a > 0 and substring(near, a, 1) rlike '[A-Za-z0-9_]')")
-    hits = met.where(same & free).select("id", (F.col("start") - F.col("lead")).alias("start"), (-F.length("name")).alias("size"), "entity_id")
-    spans = hits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "size", "entity_id"))).alias("s"))
-    start = F.struct(F.array().cast("array<struct<start:int,size:int,entity_id:bigint>>").alias("kept"), F.lit(0).alias("at"))
-    kept = F.aggregate("s", start, lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), (x["start"] - x["size"]).alias("at"))).otherwise(acc))
-    each = spans.select("id", F.explode(kept["kept"]).alias("m")).join(chunks.select("id", "text"), "id")
-    off = lambda end: F.octet_length(F.substring("text", F.lit(1), end))
-    return each.select(F.col("id").alias("chunk_id"), "m.entity_id", off(F.col("m.start")).alias("start_off"), off(F.col("m.start") - F.col("m.size")).alias("end_off"))
+    return spread(chunks.select("id", "text").where("text is not null")).mapInPandas(run, _MENTION)
+
+
+_MATCH = "row long, chunk_id long, s int, e int, entity_id long, free boolean, start_off int, end_off int"
+
+
+def _group_matches(names):
+    """All matches of one group of names, the longest at each place, with byte offsets."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = build_automaton(names.value)
+        for frame in frames:
+            rows = []
+            for row, cid, text in zip(frame["row"], frame["id"], frame["text"], strict=True):
+                at = off = 0
+                for s, e, value, free in longest_matches(text, automaton):
+                    off, at = off + len(text[at:s].encode()), s
+                    rows.append((row, cid, s, e, value, free, off, off + len(text[s:e].encode())))
+            yield pd.DataFrame(rows, columns=["row", "chunk_id", "s", "e", "entity_id", "free", "start_off", "end_off"])
+
+    return run
+
+
+def _settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the sorted matches of each row those that do not overlap, from left to right; free ones are mentions."""
+    row, at = None, 0
+    for frame in frames:
+        kept = []
+        for i, (r, s, e, free) in enumerate(zip(frame["row"], frame["s"], frame["e"], frame["free"], strict=True)):
+            if r != row:
+                row, at = r, 0
+            if s >= at:
+                at = e
+                if free:
+                    kept.append(i)
+        yield frame.iloc[kept][["chunk_id", "entity_id", "start_off", "end_off"]]
+
+
+def join_mentions(chunks: DataFrame, entities: DataFrame, size: int = AUTOMATON_NAMES) -> DataFrame:
+    """What find_mentions finds, for any number of names: they are dealt to groups of about ``size``, each an automaton
+    that gives all its matches, also those inside words; the matches of a text are brought together and settled as one
+    automaton would. Each group reads all texts; the driver holds the names of one group at a time."""
+    spark = chunks.sparkSession
+    s = Scratch(spark, "mentions")
+    order = F.struct("first_seq", "id") if "first_seq" in entities.columns else F.struct("id")
+    low = tx.ascii_fold(F.col("name"))
+    names = s.cut(entities.where(F.length("name") >= LEAST_NAME).groupBy(low.alias("name")).agg(F.min_by("id", order).alias("id")))
+    groups = -(-names.count() // size)
+    if not groups:
+        return spark.createDataFrame([], _MENTION)
+    # Rows are numbered once, in a table: a chunk id that occurs twice is two texts.
+    texts = spread(s.cut(chunks.where("text is not null").select(F.monotonically_increasing_id().alias("row"), "id", "text")))
+    matches = None
+    for g in range(groups):
+        mine = names.where(F.pmod(F.xxhash64("name"), F.lit(groups)) == g).select("name", "id").collect()
+        if not mine:
+            continue
+        found = texts.mapInPandas(_group_matches(spark.sparkContext.broadcast([tuple(r) for r in mine])), _MATCH)
+        matches = found if matches is None else matches.unionByName(found)
+    return matches.repartition("row").sortWithinPartitions("row", "s", F.desc("e")).mapInPandas(_settle, _MENTION)
 
 
 def cooccurrences(distinct_mentions: DataFrame, group: str = "chunk_id", item: str = "entity_id") -> DataFrame:

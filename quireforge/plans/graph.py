@@ -149,7 +149,7 @@ def field_label_mentions(spark, d):
 
 @query("gazetteer_by_join")
 def gazetteer_by_join(spark, d):
-    """The way for gazetteers too large for an automaton, on the same input as gazetteer_mentions."""
+    """The way for gazetteers too large for one automaton, on the same input as gazetteer_mentions."""
     return graph.join_mentions(*_titled_chunks(spark, d))
 
 

@@ -92,6 +92,21 @@ def test_join_finds_what_the_automaton_finds(spark):
     assert rows(graph.find_mentions(chunks, ents)) == rows(graph.join_mentions(chunks, ents)) == rows(graph.find_mentions(chunks, ents, 2))
 
 
+def test_many_automata_equal_one(spark):
+    rng = random.Random(8)
+    names = ["Stone", "stone bridge", "Bridge", "one b", "one bridgework", "日本語", "本語の", "***", "é**", "Old Mill", "old mill", "mill road", "ill", "road "]
+    texts = ["".join(rng.choice([*names, " ", "s", "work", ", ", "é"]) for _ in range(rng.randrange(1, 12))) for _ in range(150)] + ["日本語の橋", "an one bridgework", None, ""]
+    chunks = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id long, text string")
+    ents = spark.createDataFrame([(i, n, 100 - i) for i, n in enumerate(names)], "id long, name string, first_seq int")
+    rows = lambda df: sorted(tuple(r) for r in df.select("chunk_id", "entity_id", "start_off", "end_off").collect())
+    want = rows(graph.find_mentions(chunks, ents))
+    assert {5, 7, 10} <= {r[1] for r in want} and 9 not in {r[1] for r in want}
+    assert rows(graph.join_mentions(chunks, ents)) == want
+    assert rows(graph.find_mentions(chunks, ents, 3)) == want
+    assert rows(graph.join_mentions(chunks, ents, 1)) == want
+    assert graph.join_mentions(chunks, ents.limit(0)).count() == 0
+
+
 def test_edges(spark):
     m = spark.createDataFrame([(1, 10), (1, 20), (1, 30), (1, 10), (2, 10), (2, 20), (3, 40)], "chunk_id long, entity_id long")
     d = spark.createDataFrame([(10, 1, True), (40, 3, True), (20, 1, False)], "entity_id long, chunk_id long, is_primary boolean")
