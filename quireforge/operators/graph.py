@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..scratch import Scratch, spread
+from .segments import chunk_id
 
 LEAST_NAME = 3
 AUTOMATON_NAMES = 500_000
@@ -46,7 +47,7 @@ def entities_of(named: DataFrame) -> DataFrame:
 def definitions_of(named: DataFrame) -> DataFrame:
     """The first chunk of each section that names an entity; primary is the first of all documents."""
     first = named.groupBy("entity_id").agg(F.min("seq").alias("first_seq"))
-    chunk = F.col("section_id") * F.lit(1 << 10)
+    chunk = chunk_id(F.col("section_id"), F.lit(0))
     return named.join(first, "entity_id").select(
         "entity_id", chunk.alias("chunk_id"), "doc_id", F.col("start_page").alias("page_no"), (F.col("seq") == F.col("first_seq")).alias("is_primary")
     )

@@ -122,6 +122,14 @@ def section_id(doc_id: Column, idx: Column) -> Column:
     return F.when(ok | idx.isNull(), doc_id * SECTIONS_PER_DOC + idx).otherwise(F.raise_error(F.lit("more sections than ids")).cast("long"))
 
 
+def chunk_id(section_id: Column, ord_: Column) -> Column:
+    """A positive id of a section's chunk: by place below ``CHUNKS_PER_SECTION`` and 2^62; else, above 2^62, a hash of
+    both, so that a section can have any number of chunks and those beyond come after all others."""
+    placed = section_id.between(0, (1 << 52) - 1) & (ord_ < CHUNKS_PER_SECTION)
+    hashed = F.xxhash64(section_id.cast("long"), ord_.cast("long")).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    return F.when(placed, section_id * CHUNKS_PER_SECTION + ord_).when(section_id.isNotNull(), hashed)
+
+
 def recognized_sections(sections: DataFrame, pack: Pack) -> DataFrame:
     """sections with section_id, kind, atomic, fields of the rule that fits."""
     body = body_text(F.col("bodies"))
@@ -138,8 +146,9 @@ def build_chunks(sections: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
     """The chunks table of recognised sections: ord counts from 0 in each section, doc_ord orders within a document."""
     texts = pack_chunks(F.col("title"), F.transform("bodies", lambda b: b["text"]), F.col("atomic"), most)
     each = sections.select("doc_id", "section_id", "start_page", "end_page", "atomic", F.posexplode(texts).alias("ord", "text"))
-    bound = F.when(F.col("ord") < CHUNKS_PER_SECTION, F.col("section_id") * CHUNKS_PER_SECTION + F.col("ord")).otherwise(F.raise_error(F.lit("more chunks than ids")).cast("long"))
+    # doc_ord counts in a document only, so it has room for 2^42 chunks of a section.
+    doc_ord = F.pmod("section_id", F.lit(SECTIONS_PER_DOC)) * F.lit(1 << 42) + F.col("ord")
     return each.select(
-        bound.alias("id"), "doc_id", "section_id", "start_page", "end_page", "ord", bound.alias("doc_ord"),
+        chunk_id(F.col("section_id"), F.col("ord")).alias("id"), "doc_id", "section_id", "start_page", "end_page", "ord", doc_ord.alias("doc_ord"),
         F.when(F.col("atomic"), "definition").otherwise("prose").alias("kind"), "text", tx.token_estimate(F.col("text")).alias("token_est"),
     )

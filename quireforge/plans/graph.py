@@ -125,7 +125,7 @@ def _titled_chunks(spark, d):
     rows = table(spark, d, "built_sections").dropDuplicates(["section_id"]).select("section_id", F.coalesce("title", F.lit("")).alias("title"), texts.alias("bodies"))
     each = rows.select("section_id", F.posexplode(segments.pack_chunks(F.col("title"), F.col("bodies"), F.lit(False))).alias("ord", "text"))
     names = table(spark, d, "documents").where("title is not null").groupBy(F.col("title").alias("name")).agg(F.min("doc_id").alias("id"))
-    return each.select((F.col("section_id") * (1 << 10) + F.col("ord")).alias("id"), "text"), names
+    return each.select(segments.chunk_id(F.col("section_id"), F.col("ord")).alias("id"), "text"), names
 
 
 @query("gazetteer_mentions")

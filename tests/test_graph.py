@@ -58,6 +58,27 @@ def test_chunks(spark):
     assert len(df.select(segments.pack_chunks(F.col("t"), F.col("b"), F.lit(True), 50).alias("x")).first()["x"]) == 1
 
 
+def test_sections_of_any_number_of_chunks(spark):
+    bodies = [(str(i) + "x" * 40,) for i in range(2500)]
+    row = "doc_id long, section_id long, start_page int, end_page int, atomic boolean, title string, bodies array<struct<text: string>>"
+    df = spark.createDataFrame([(3, (3 << 20) + i, 1, 2, False, "T", bodies[: 2500 if i < 2 else 1]) for i in range(4)], row)
+    got = sorted((r["doc_ord"], r["section_id"], r["ord"], r["id"]) for r in segments.build_chunks(df, 50).collect())
+    assert [g[1:3] for g in got] == [((3 << 20) + i, n) for i in range(4) for n in range(2500 if i < 2 else 1)]
+    assert len({g[3] for g in got}) == len(got) == 5002 and all(g[3] > 0 for g in got)
+    assert all(g[3] == (g[1] << 10) + g[2] if g[2] < 1024 else g[3] >= 1 << 62 for g in got)
+
+
+def test_chunk_ids_of_built_sections(spark, tmp_path):
+    from quireforge.plans import graph as plans
+
+    blocks = [(1, str(i) + "x" * 4800) for i in range(1100)]
+    df = spark.createDataFrame([(1, "One", blocks), (2, "Two", blocks[:2])], "section_id long, title string, body_blocks array<struct<page_no: int, text: string>>")
+    df.write.parquet(f"{tmp_path}/built_sections.parquet")
+    spark.createDataFrame([(1, "One")], "doc_id long, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [r["id"] for r in plans._titled_chunks(spark, str(tmp_path))[0].collect()]
+    assert len(ids) == len(set(ids)) == 1102
+
+
 def brute_mentions(text, names):
     low, out, at = text.lower(), [], 0
     while at < len(text):
