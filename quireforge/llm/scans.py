@@ -23,8 +23,6 @@ from ..scratch import Scratch, spread
 
 COMMON_WORDS = 50_000
 """So many of the most frequent sound words are known to every worker; rarer ones are looked up by a shuffle."""
-MEANT = 8
-"""So many words of the same strokes are compared with a misread one."""
 TAIL, HEAD = 4, 2
 """Lines with text at the foot and the head of a page that can be running lines."""
 
@@ -253,13 +251,13 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     keyed = _settle_opened(counts).withColumn("strokes", _stroke_key("word"))
     mixed = F.col("word").rlike(_MIXED.pattern.replace("[^\\W\\d_]", "\\p{L}"))
     keyed = keyed.withColumn("mixed", mixed)
-    # Of words with the same strokes the few most frequent can be meant; of these the one that is nearest in writing.
-    order = Window.partitionBy("strokes").orderBy(F.desc("n"), "word")
-    few = keyed.where("not mixed").withColumn("place", F.row_number().over(order)).where(F.col("place") <= MEANT)
+    # Of words with the same strokes all that are not far rarer than the first can be meant; of these the one that is
+    # nearest in writing.
+    few = keyed.where("not mixed").withColumn("top_n", F.max("n").over(Window.partitionBy("strokes"))).where("n >= 0.02 * top_n")
     few = few.groupBy("strokes").agg(F.max("n").alias("top_n"), F.collect_list(F.struct("n", "word")).alias("few"))
     met = keyed.join(few, "strokes", "left")
     plain = F.translate(F.regexp_replace("word", r"[|~·'’]", ""), "(", "c")
-    near = F.transform(F.filter("few", lambda x: (x["word"] != F.col("word")) & (x["n"] >= 2 * F.col("n")) & (x["n"] >= 0.02 * F.col("top_n"))), lambda x: F.struct((-F.levenshtein(x["word"], plain)).alias("d"), x["n"].alias("n"), x["word"].alias("word")))
+    near = F.transform(F.filter("few", lambda x: (x["word"] != F.col("word")) & (x["n"] >= 2 * F.col("n"))), lambda x: F.struct((-F.levenshtein(x["word"], plain)).alias("d"), x["n"].alias("n"), x["word"].alias("word")))
     met = met.withColumn("top", F.array_max(near))
     rare = (F.col("top_n") >= 25 * F.col("n")) | ((F.col("n") <= 3) & (F.col("top_n") >= 2 * F.col("n")))
     elided = F.col("word").rlike(r"^(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu)['’]\p{L}")

@@ -59,6 +59,13 @@ def test_breaks_and_misread_words(spark):
     assert "of the observatory and the market." in text and "Vol. II" not in text and " 47" not in text
 
 
+def test_all_words_of_the_same_strokes_can_be_meant(spark):
+    words = [("hli", 109), ("ilh", 108), ("uil", 107), ("illi", 106), ("lili", 105), ("ilil", 104), ("uu", 103), ("hu", 102), ("hil", 90), ("h1l", 1)]
+    assert len({scans.stroke_key(w) for w, _ in words}) == 1
+    got = {r["word"]: r["best"] for r in scans.vocabulary(spark.createDataFrame(words, "word string, n long")).collect()}
+    assert got == {w: w for w, _ in words[:-1]} | {"h1l": "hil"}
+
+
 def test_stroke_keys():
     for wrong, right in [("wliether", "whether"), ("iriscription", "inscription"), ("rnarket", "market"), ("recorcls", "records"), ("vvardens", "wardens"), ("Qiiarry", "quarry"), ("britt1e", "brittle"), ("a6out", "about"), ("le@st", "least"), ("belie~ve", "believe"), ("disagrce", "disagree"), ("furfher", "further"), ("rea(hed", "reached")]:
         assert scans.stroke_key(wrong) == scans.stroke_key(right), wrong
