@@ -259,7 +259,10 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     plain = F.translate(F.regexp_replace("word", r"[|~·'’]", ""), "(", "c")
     near = F.transform(F.filter("few", lambda x: (x["word"] != F.col("word")) & (x["n"] >= 2 * F.col("n"))), lambda x: F.struct((-F.levenshtein(x["word"], plain)).alias("d"), x["n"].alias("n"), x["word"].alias("word")))
     met = met.withColumn("top", F.array_max(near))
-    rare = (F.col("top_n") >= 25 * F.col("n")) | ((F.col("n") <= 3) & (F.col("top_n") >= 2 * F.col("n")))
+    # Of top_n true words at most one in 25 is expected to be misread alike. More are still noise if chance explains them:
+    # the log likelihood of n at that mean (Poisson) is at most 5 below the best.
+    mean = F.col("top_n") / 25
+    rare = (F.col("n") <= mean) | (F.col("n") * F.log(F.col("n") / mean) - (F.col("n") - mean) <= 5)
     elided = F.col("word").rlike(r"^(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu)['’]\p{L}")
     other = F.col("top").isNotNull()
     number = F.col("word").rlike(r"^[0-9lIiOoSsBb|!]*[0-9][0-9lIiOoSsBb|!]*$")

@@ -66,6 +66,12 @@ def test_all_words_of_the_same_strokes_can_be_meant(spark):
     assert got == {w: w for w, _ in words[:-1]} | {"h1l": "hil"}
 
 
+@pytest.mark.parametrize("n,top,misread", [(1, 2, True), (3, 6, True), (4, 8, False), (4, 60, True), (40, 600, True), (400, 6000, False), (400, 10_000, True)])
+def test_one_rule_for_all_counts(spark, n, top, misread):
+    got = scans.vocabulary(spark.createDataFrame([("market", top), ("rnarket", n)], "word string, n long")).where("word = 'rnarket'").first()
+    assert (got["misread"], got["best"]) == (misread, "market" if misread else "rnarket")
+
+
 def test_stroke_keys():
     for wrong, right in [("wliether", "whether"), ("iriscription", "inscription"), ("rnarket", "market"), ("recorcls", "records"), ("vvardens", "wardens"), ("Qiiarry", "quarry"), ("britt1e", "brittle"), ("a6out", "about"), ("le@st", "least"), ("belie~ve", "believe"), ("disagrce", "disagree"), ("furfher", "further"), ("rea(hed", "reached")]:
         assert scans.stroke_key(wrong) == scans.stroke_key(right), wrong
