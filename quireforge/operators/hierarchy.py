@@ -136,11 +136,8 @@ def descendants(tree: DataFrame) -> DataFrame:
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
-    """(id, ancestor_id, distance), the nearest first at distance 1."""
-    up = F.posexplode(F.slice("path", 1, F.size("path") - 1))
-    return tree.where("depth > 0").select("id", "depth", up.alias("at", "ancestor_id")).select(
-        "id", "ancestor_id", (F.col("depth") - F.col("at")).alias("distance")
-    )
+    """(id, ancestor_id, distance), the nearest at distance 1: the ranges that hold a row's position."""
+    return descendants(tree).select(F.col("descendant_id").alias("id"), F.col("id").alias("ancestor_id"), "distance")
 
 
 def labelled_paths(tree: DataFrame, labels: DataFrame, id_col: str = "id", label_col: str = "title", sep: str = " > ") -> DataFrame:

@@ -57,6 +57,11 @@ def test_random_forests(spark, seed):
     assert {(r[1], r[0]) for r in h.ancestors(got.tree).select("id", "ancestor_id").collect()} == pairs
 
 
+def test_ancestors_by_range_alone(spark):
+    tree = build(spark, [(1, None), (2, 1), (3, 2), (4, 2), (5, None)]).tree.drop("path")
+    assert sorted(tuple(r) for r in h.ancestors(tree).select("id", "ancestor_id", "distance").collect()) == [(2, 1, 1), (3, 1, 2), (3, 2, 1), (4, 1, 2), (4, 2, 1)]
+
+
 def test_long_chain_and_wide_parent(spark):
     rows = [(1, None)] + [(i, i - 1) for i in range(2, 400)] + [(10_000 + i, 1) for i in range(9000)]
     got = build(spark, rows)
