@@ -45,7 +45,7 @@ def item_blocks(df: DataFrame, id_col: str, title_col: str, blocks_col: str, tex
 
 def _profiles(profiles: DataFrame) -> list[tuple[str, int, int]]:
     """The limits, a small fixed table. A limit of at most 16 bytes or an overlap of half the limit or more is refused."""
-    found = [(r[0], int(r[1]), int(r[2] or 0)) for r in profiles.select("profile", "max_bytes", "overlap_bytes").where("profile is not null and max_bytes is not null").distinct().limit(1000).collect()]
+    found = [(r[0], int(r[1]), int(r[2] or 0)) for r in profiles.select("profile", "max_bytes", "overlap_bytes").where("profile is not null and max_bytes is not null").distinct().collect()]
     for name, most, overlap in found:
         if most < 16 or not 0 <= overlap <= most // 2:
             raise ValueError(f"profile {name}: {most} bytes with an overlap of {overlap} can't be cut")

@@ -64,6 +64,11 @@ def test_any_text(spark, parts):
     check(spark, [(1, "T", parts)], [("p", 64, 16), ("q", 33, 5)])
 
 
+def test_all_profiles_count(spark):
+    _, limits = tables(spark, [], [(f"p{i}", 100 + i, 10) for i in range(1200)])
+    assert len(sp._profiles(limits)) == 1200
+
+
 def test_empty_and_refused(spark):
     blocks, limits = tables(spark, [], [("p", 100, 10)])
     assert sp.pieces(blocks, limits).count() == 0 and sp.cuts(blocks, limits).count() == 0
