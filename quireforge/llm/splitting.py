@@ -1,12 +1,13 @@
 """Oversized items cut at natural boundaries, by byte ranges.
 
-An item's text is never put together. Its blocks are cut into byte ranges; workers find boundaries in each range with a
-halo on either side; the lengths of the blocks give every range its place; the best boundary of each window of an item
-is picked by a max over the table of boundaries; pieces are then taken out of the ranges by offset.
+The lengths of an item's blocks are summed up to their places in the joined text; blocks are cut into byte ranges with
+a halo on either side, in which workers find boundaries; the best boundary of each window of an item is picked by a max
+over the table of boundaries; pieces are then taken by offset out of cells, stretches of the joined text. No row holds
+more than its own range, cell or piece: the text of an item above the limits is never put together.
 
 Cut k of an item lies in the window (k*s - t, k*s] where s = max_bytes - overlap_bytes - t and t is a quarter of
 max_bytes - overlap_bytes: so a piece with its overlap never exceeds max_bytes, every window is decided alone, and a
-giant item is as parallel as many small ones.
+giant item is as parallel as many small ones. An item has a cut in each window that ends before the item does.
 """
 
 from __future__ import annotations
@@ -14,19 +15,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, LongType
 
 RANGE_BYTES = 1 << 16
-HALO = 8
+HALO = 64
+"""So many bytes around a place tell its kind; of a longer run of white space those nearest to the place count."""
+GIANT_BYTES = 1 << 24
+"""Ranges of items from this size on are dealt to all workers; those of smaller ones stay where they were read."""
 GLUE = "\n\n"
 # Natural places, the best first: paragraph, line, sentence, clause, word; a place lies after the match.
+_PARAGRAPH = re.compile(rb"\n[ \t\r]*\n\s*")
 PLACES = [
-    (5, re.compile(rb"\n[ \t\r]*\n\s*")),
     (4, re.compile(rb"\n")),
-    (3, re.compile(rb"(?:[.!?]|\xe2\x80\xa6)[\"')\]]*\s|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f")),
+    (3, re.compile(rb"(?:[.!?]|\xe2\x80\xa6)[\"')\]]{0,8}\s|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f")),
     (2, re.compile(rb"[,;:]\s|\xe3\x80\x81")),
     (1, re.compile(rb"[ \t]")),
 ]
@@ -34,20 +40,19 @@ BLANK = r"(?U)^[\s\x{200B}\x{FEFF}]*$"
 
 
 def item_blocks(df: DataFrame, id_col: str, title_col: str, blocks_col: str, text_field: str = "text") -> DataFrame:
-    """(item, no, text): the title and the blocks that are neither null nor blank, in order, the title as number 0.
-
-    Exactly repeated rows count once. Rows with a null id keep a null item and are cut as one item each by content."""
+    """(item, row, parts): the title and the blocks that are neither null nor blank, in order; row tells different rows
+    of one item apart, exactly repeated ones have the same. Rows with a null id are items of their own by content."""
     parts = F.concat(F.array(F.col(title_col)), F.coalesce(F.transform(blocks_col, lambda b: b[text_field]), F.array().cast("array<string>")))
     rows = df.select(F.col(id_col).alias("item"), F.filter(parts, lambda x: x.isNotNull() & ~x.rlike(BLANK)).alias("parts"))
-    rows = rows.withColumn("row", F.xxhash64("parts"))
-    return rows.dropDuplicates(["item", "row"])
+    return rows.where(F.size("parts") > 0).select("item", F.xxhash64("item", "parts").alias("row"), "parts")
 
 
 def _profiles(profiles: DataFrame) -> list[tuple[str, int, int]]:
-    """The limits, a small fixed table. A limit of at most 16 bytes or an overlap of half the limit or more is refused."""
+    """The limits, a small fixed table. An overlap of more than half the limit is refused, and so is a limit that leaves
+    fewer than 12 bytes beside the overlap, as a window would then be shorter than a character."""
     found = [(r[0], int(r[1]), int(r[2] or 0)) for r in profiles.select("profile", "max_bytes", "overlap_bytes").where("profile is not null and max_bytes is not null").distinct().collect()]
     for name, most, overlap in found:
-        if most < 16 or not 0 <= overlap <= most // 2:
+        if most - overlap < 12 or not 0 <= overlap <= most // 2:
             raise ValueError(f"profile {name}: {most} bytes with an overlap of {overlap} can't be cut")
     return sorted(found)
 
@@ -57,22 +62,35 @@ def stride(most: int, overlap: int) -> tuple[int, int]:
     return most - overlap - slack, slack
 
 
-def _ranges(blocks: DataFrame) -> DataFrame:
-    """(item, row, total, at, length, body, halo before and after): byte ranges of the joined text, in place."""
-    sized = blocks.select(
-        "item", "row",
-        F.expr(f"transform(parts, (p, i) -> encode(if(i = 0, p, concat('{GLUE}', p)), 'UTF-8'))").alias("parts"),
-    )
-    lens = sized.withColumn("lens", F.transform("parts", lambda p: F.octet_length(p).cast("long")))
-    placed = lens.withColumn("total", F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))
-    each = placed.select("item", "row", "total", "lens", F.posexplode("parts").alias("no", "part"))
-    start = F.aggregate(F.slice("lens", 1, F.col("no")), F.lit(0).cast("long"), lambda a, x: a + x)
-    cut = each.select("item", "row", "total", start.alias("start"), "part", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("part") - 1, F.lit(0)), F.lit(RANGE_BYTES))).alias("off"))
+def _with_total(blocks: DataFrame) -> DataFrame:
+    """blocks with total, the bytes of the joined text."""
+    summed = F.aggregate("parts", F.lit(-len(GLUE)).cast("long"), lambda a, p: a + F.octet_length(p) + len(GLUE))
+    return blocks.withColumn("total", summed)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _starts(lengths: pd.Series) -> pd.Series:
+    return lengths.map(lambda x: np.concatenate([[0], np.cumsum(x)[:-1]]).astype(np.int64))
+
+
+def _placed(sized: DataFrame) -> DataFrame:
+    """(item, row, total, start, part): the blocks as bytes, each but the first led by the glue, with their places. Only
+    lengths go to Python to be summed."""
+    glued = F.expr(f"transform(parts, (p, i) -> octet_length(p) + if(i = 0, 0, {len(GLUE)}))")
+    rows = sized.withColumn("starts", _starts(glued))
+    each = rows.select("item", "row", "total", F.explode(F.arrays_zip("starts", "parts")).alias("z")).select("item", "row", "total", F.col("z.starts").alias("start"), F.col("z.parts").alias("p"))
+    return each.select("item", "row", "total", "start", F.encode(F.when(F.col("start") > 0, F.concat(F.lit(GLUE), "p")).otherwise(F.col("p")), "UTF-8").alias("part"))
+
+
+def _ranges(placed: DataFrame) -> DataFrame:
+    """(item, row, total, at, before, length, body): byte ranges of the blocks; body has a halo on either side."""
+    size = F.octet_length("part")
+    cut = placed.select("item", "row", "total", "start", "part", F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(RANGE_BYTES))).alias("off"))
     first = F.greatest(F.col("off") - HALO, F.lit(0))
     return cut.select(
         "item", "row", "total", (F.col("start") + F.col("off")).alias("at"), (F.col("off") - first).alias("before"),
-        F.least(F.lit(RANGE_BYTES), F.octet_length("part") - F.col("off")).alias("length"),
-        F.substring("part", first + 1, F.lit(RANGE_BYTES + 2 * HALO)).alias("body"),
+        F.least(F.lit(RANGE_BYTES), size - F.col("off")).alias("length"),
+        F.expr(f"substring(part, greatest(off - {HALO}, 0) + 1, off - greatest(off - {HALO}, 0) + {RANGE_BYTES + HALO})").alias("body"),
     )
 
 
@@ -86,23 +104,26 @@ def _best_places(profiles: list[tuple[str, int, int]]):
                     continue
                 # The joint of two blocks is a paragraph end that only the later block knows of.
                 places: dict[int, int] = {at + len(GLUE): 5} if before == 0 and at and body[:2] == b"\n\n" else {}
+                for m in _PARAGRAPH.finditer(body):
+                    if before < m.end() <= before + length and _PARAGRAPH.search(body, max(m.start(), m.end() - HALO), m.end()):
+                        places[at - before + m.end()] = 5
                 for strength, pattern in PLACES:
                     for m in pattern.finditer(body):
-                        where = at - before + m.end()
-                        if before < m.end() <= before + length:
-                            places.setdefault(where, strength)
+                        where = m.end()
+                        if before < where <= before + length:
+                            places.setdefault(at - before + where, strength)
                 for name, s, slack in need:
                     best: dict[int, tuple[int, int]] = {}
                     for where, strength in places.items():
                         k = -(-where // s)
-                        if where > k * s - slack and where < total and (k not in best or (strength, where) > best[k]):
+                        if where > k * s - slack and k * s < total and (k not in best or (strength, where) > best[k]):
                             best[k] = (strength, where)
                     # Without a natural place: the last whole character that starts in the window's end.
                     for k in range(-(-(at + 1) // s), (at + length) // s + 1):
                         where = k * s
                         if k not in best and at < where <= at + length and where < total:
                             i = where - at + before
-                            while i < len(body) and i > before and body[i] & 0xC0 == 0x80:
+                            while 0 < i < len(body) and body[i] & 0xC0 == 0x80:
                                 i -= 1
                             best[k] = (0, at - before + i)
                     for k, (strength, where) in best.items():
@@ -123,13 +144,32 @@ def cuts(blocks: DataFrame, profiles: DataFrame) -> DataFrame:
     limits = _profiles(profiles)
     if not limits:
         return blocks.sparkSession.createDataFrame([], _CUT_SCHEMA)
-    # Items under the smallest limit need no boundary; their length is known without looking into them.
-    least = min(most for _, most, _ in limits)
-    found = _ranges(blocks).where(F.col("total") > least).mapInArrow(_best_places(limits), _CUT_SCHEMA)
+    # Items under the smallest limit need no boundary and are left out by their length alone.
+    sized = _with_total(blocks).where(F.col("total") > min(most for _, most, _ in limits))
+    usual = _ranges(_placed(sized.where(F.col("total") < GIANT_BYTES)))
+    giant = _ranges(_placed(sized.where(F.col("total") >= GIANT_BYTES))).repartition("row", "at")
+    find = _best_places(limits)
+    found = usual.mapInArrow(find, _CUT_SCHEMA).unionByName(giant.mapInArrow(find, _CUT_SCHEMA))
     best = found.groupBy("item", "row", "total", "profile", "k").agg(F.max(F.struct("strength", "cut")).alias("b"))
     return best.select("item", "row", "total", "profile", "k", "b.strength", "b.cut")
 
 
+def _spans(table: DataFrame) -> DataFrame:
+    """(item, row, profile, piece, from, end): every cut ends a piece and begins the next; no item's cuts are sorted."""
+    sides = F.array(
+        F.struct(F.col("k").alias("piece"), F.lit(None).cast("long").alias("from"), F.col("cut").alias("end")),
+        F.struct((F.col("k") + 1).alias("piece"), F.col("cut").alias("from"), F.lit(None).cast("long").alias("end")),
+    )
+    each = table.select("item", "row", "total", "profile", F.explode(sides).alias("x"))
+    met = each.groupBy("item", "row", "total", "profile", F.col("x.piece").alias("piece")).agg(F.max("x.from").alias("from"), F.max("x.end").alias("end"))
+    return met.select("item", "row", "profile", F.col("piece").cast("int").alias("piece"), F.coalesce("from", F.lit(0).cast("long")).alias("from"), F.coalesce("end", "total").alias("end"))
+
+
+def _joined(slices: Column) -> Column:
+    """The bytes of an array of (at, bytes) in order."""
+    return F.array_join(F.transform(F.array_sort(slices), lambda x: x["bytes"].cast("string")), "").cast("binary")
+
+
 def pieces(blocks: DataFrame, profiles: DataFrame) -> DataFrame:
     """(item, row, profile, piece, start, end, body): numbered from 1; start and end are bytes of the joined text.
 
@@ -138,37 +178,35 @@ def pieces(blocks: DataFrame, profiles: DataFrame) -> DataFrame:
     overlaps taken off, are its text."""
     limits = _profiles(profiles)
     spark = blocks.sparkSession
-    names = spark.createDataFrame(limits, "profile string, max_bytes int, overlap_bytes int")
-    ranges = _ranges(blocks)
-    table = cuts(blocks, profiles)
-    per_item = Window.partitionBy("item", "row", "profile").orderBy("cut")
-    ends = table.select("item", "row", "total", "profile", "cut")
-    # An item's cuts are few against its bytes; the window holds one number for each piece.
-    inner = ends.select("item", "row", "profile", F.col("cut").alias("end"), F.lag("cut", 1, 0).over(per_item).alias("from"), F.row_number().over(per_item).alias("piece"))
-    last = ends.groupBy("item", "row", "profile", "total").agg(F.max("cut").alias("from"), F.count("*").alias("n"))
-    spans = inner.unionByName(last.select("item", "row", "profile", F.col("total").alias("end"), "from", (F.col("n") + 1).cast("int").alias("piece")))
-    spans = spans.join(F.broadcast(names), "profile").select(
-        "item", "row", "profile", "piece", F.greatest(F.col("from") - F.when(F.col("piece") > 1, F.col("overlap_bytes")).otherwise(0), F.lit(0)).alias("start"), "end"
+    if not limits:
+        return spark.createDataFrame([], "item long, row long, profile string, piece int, start long, end long, body string")
+    least, most = min(m for _, m, _ in limits), max(m for _, m, _ in limits)
+    names = F.broadcast(spark.createDataFrame(limits, "profile string, max_bytes int, overlap_bytes int"))
+    sized = _with_total(blocks)
+    # A piece is taken out of the cell in which it starts; a cell also holds the first bytes of the next, as many as the
+    # longest piece has. (key, row) stands for the item, which can be null.
+    cell = max(RANGE_BYTES, 4 * most)
+    key = F.coalesce("item", F.lit(0)).alias("key")
+    spans = _spans(cuts(blocks, profiles)).join(names, "profile").select(
+        "item", key, "row", "profile", "piece", F.when(F.col("piece") > 1, F.col("from") - F.col("overlap_bytes")).otherwise(F.col("from")).alias("start"), "end"
     )
-    # Each span meets the ranges it overlaps by the number of a grid of RANGE_BYTES.
-    grid = lambda c: F.floor(c / RANGE_BYTES)
-    asked = spans.withColumn("cell", F.explode(F.sequence(grid(F.col("start")), grid(F.col("end") - 1))))
-    held = ranges.where(F.col("length") > 0).withColumn("cell", F.explode(F.sequence(grid(F.col("at")), grid(F.col("at") + F.col("length") - 1))))
-    met = asked.join(held.select("item", "row", "cell", "at", "before", "length", "body"), (asked["item"].eqNullSafe(held["item"])) & (asked["row"] == held["row"]) & (asked["cell"] == held["cell"])).select(
-        asked["item"], asked["row"], "profile", "piece", "start", "end", asked["cell"],
-        F.greatest("start", "at", asked["cell"] * RANGE_BYTES).alias("a"),
-        F.least("end", F.col("at") + F.col("length"), (asked["cell"] + 1) * RANGE_BYTES).alias("b"), "at", "before", "body",
-    )
-    slices = met.where("a < b").select("item", "row", "profile", "piece", "start", "end", "a", F.expr("substring(body, int(a - at + before + 1), int(b - a))").alias("bytes"))
-    whole = slices.groupBy("item", "row", "profile", "piece", "start", "end").agg(F.array_sort(F.collect_list(F.struct("a", "bytes"))).alias("s"))
-    joined = whole.withColumn("bytes", F.aggregate("s", F.lit(b"").cast("binary"), lambda x, y: F.concat(x, y["bytes"])))
+    asked = spans.withColumn("start", F.greatest("start", F.lit(0))).withColumn("cell", F.floor(F.col("start") / cell))
+    stop = F.col("start") + F.octet_length("part")
+    parts = _placed(sized.where(F.col("total") > least)).withColumn("stop", stop).where("stop > start")
+    held = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.greatest(F.col("start") - most, F.lit(0)) / cell), F.floor((F.col("stop") - 1) / cell))))
+    low, high = f"greatest(start, cell * {cell})", f"least(stop, (cell + 1) * {cell} + {most})"
+    held = held.select(key, "row", "cell", F.expr(low).alias("at"), F.expr(f"substring(part, int({low} - start) + 1, int({high} - {low}))").alias("bytes"))
+    bodies = held.groupBy("key", "row", "cell").agg(_joined(F.collect_set(F.struct("at", "bytes"))).alias("bytes"))
+    met = asked.join(bodies, ["key", "row", "cell"]).withColumn("bytes", F.expr(f"substring(bytes, int(start - cell * {cell}) + 1, int(end - start))"))
     # A start inside a character moves to the next one.
     lead = F.expr("length(regexp_extract(hex(substring(bytes, 1, 3)), '^((?:[89AB][0-9A-F])*)', 1)) div 2")
-    long = joined.withColumn("lead", lead.cast("int")).select(
+    long = met.withColumn("lead", lead.cast("int")).select(
         "item", "row", "profile", "piece", (F.col("start") + F.col("lead")).alias("start"), "end",
         F.decode(F.expr("substring(bytes, lead + 1, length(bytes))"), "UTF-8").alias("body"),
     )
-    text = F.array_join("parts", GLUE)
-    small = blocks.where(F.size("parts") > 0).select("item", "row", text.alias("body"), F.octet_length(text).cast("long").alias("end"))
-    fits = small.join(F.broadcast(names), F.col("end") <= F.col("max_bytes")).select("item", "row", "profile", F.lit(1).alias("piece"), F.lit(0).cast("long").alias("start"), "end", "body")
+    # Items that fit are joined only here, where their length is known to be within the largest limit.
+    small = sized.where(F.col("total") <= most).select("item", "row", "total", F.array_join("parts", GLUE).alias("body")).dropDuplicates(["item", "row"])
+    given = F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(m).alias("max_bytes")) for p, m, _ in limits])
+    fits = small.withColumn("p", F.explode(F.filter(given, lambda p: p["max_bytes"] >= F.col("total"))))
+    fits = fits.select("item", "row", "p.profile", F.lit(1).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("total").alias("end"), "body")
     return long.unionByName(fits)

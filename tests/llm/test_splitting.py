@@ -64,6 +64,29 @@ def test_any_text(spark, parts):
     check(spark, [(1, "T", parts)], [("p", 64, 16), ("q", 33, 5)])
 
 
+def test_borders_of_ranges_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(sp, "RANGE_BYTES", 100)
+    text = ("Satz eins. Noch einer, länger 日本; " * 7 + "\n \t\n   ") * 6 + " " * 300 + "\n\n" + "😀" * 90
+    sections = [(1, "T", [text, "tail"]), (2, "\n\n", ["a\n", "\nb" * 90])]
+    by, blocks, limits = check(spark, sections, [("p", 64, 16), ("q", 200, 31)])
+    small = sorted(map(tuple, sp.cuts(blocks, limits).collect()))
+    for size, giant in ((7, 1 << 24), (1 << 16, 1 << 24), (333, 500)):
+        monkeypatch.setattr(sp, "RANGE_BYTES", size)
+        monkeypatch.setattr(sp, "GIANT_BYTES", giant)
+        assert sorted(map(tuple, sp.cuts(blocks, limits).collect())) == small
+
+
+def test_item_of_many_blocks(spark):
+    """Work and memory follow the text, also for an item of very many small blocks."""
+    n = 200_000
+    df = spark.range(1).selectExpr("id as section_id", "'T' as title", f"transform(sequence(1, {n}), i -> named_struct('page_no', 1, 'text', concat('block of words ', i))) as body_blocks")
+    blocks = sp.item_blocks(df, "section_id", "title", "body_blocks")
+    limits = spark.createDataFrame([("p", 4800, 240)], "profile string, max_bytes int, overlap_bytes int")
+    got = sp.pieces(blocks, limits).selectExpr("count(*) as n", "max(piece) as last", "max(octet_length(body)) as most", "max(end) as bytes", "count_if(octet_length(body) <> end - start) as off").first()
+    total = 1 + sum(2 + len(f"block of words {i}") for i in range(1, n + 1))
+    assert got["n"] == got["last"] and got["most"] <= 4800 and got["bytes"] == total and got["off"] == 0
+
+
 def test_all_profiles_count(spark):
     _, limits = tables(spark, [], [(f"p{i}", 100 + i, 10) for i in range(1200)])
     assert len(sp._profiles(limits)) == 1200
