@@ -26,24 +26,29 @@ TAGS = 1 + 2 * len(KINDS)
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 LEFT, RIGHT = 30, 26
 """Characters of context on either side of what could be a mention."""
+ROWS = 256
+"""Windows tagged at once. A shorter batch is filled up, so that a window's numbers never depend on its company."""
 WINDOW, OVERLAP = 192, 64
 """Longer stretches are cut into windows of WINDOW characters that overlap by OVERLAP."""
 CACHED = 200_000
 """Windows whose spans a worker remembers; a bound on memory, not on work."""
 
-_CAP = "A-ZÀ-ÖØ-Þ"
+_CAP = "A-Z" + "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x1F00)]) if c.isupper())
+"""Capitals of the Latin, Greek and Cyrillic scripts, as the inside of a character class."""
 _PARTICLE = r"(?:van|von|vom|zu|du|des?|de la|del|de los|della|da|dos|di|der|den|ter|le|la|el|y|e)"
 # Every form begins with one of a few characters, which the search skips to; the branches look back at it.
 TRIGGER = re.compile(
     rf"[@\[(+,\d{_CAP}](?:"
     rf"(?<=@)[\w .\[\]()-]{{0,40}}|(?<=[\[(])\s?at\s?[\])][\w .\[\]()-]{{0,40}}"
-    rf"|(?:(?<=[+(])[+(]?\d|(?<=\d))(?:[ .()/\-–]{{0,3}}[\dA-ZÑ]){{5,}}"
+    rf"|(?:(?<=[+(])[+(]?\d|(?<=\d))(?:[ .()/\-–]{{0,3}}[\dA-ZÑ]){{4,}}"
     rf"|(?<=[{_CAP}])[{_CAP}]{{0,2}}-?\d{{5,}}"
     rf"|(?<=[{_CAP}])[\w'’-]*[.,]?,? \d{{1,3}}(?!\d)"
     rf"|(?<=\d)(?<![\d.,:-].)\d{{0,2}} ?[a-zA-Z]?(?: bis| ter)?,? (?:[{_CAP}]|[a-z]+ (?:d[eu]s?|aux?|l[ae]s?) |[a-z]+ d')"
     rf"|(?<=\w,) \d{{1,3}}(?!\d)(?! [a-z])"
-    rf"|(?<=[{_CAP}])(?:[\w'’-]+,?|\.,?) (?:[{_CAP}]\.,? |{_PARTICLE} ){{0,3}}[{_CAP}])"
+    rf"|(?<=[{_CAP}])(?:[\w'’-]+,?|\.,?)\s(?:[{_CAP}]\.,?\s|{_PARTICLE}\s){{0,4}}[{_CAP}])"
 )
+LEAST_DIGITS = 5
+"""A phone or identity number has at least so many digits; fewer name nobody."""
 _LINK = re.compile(r"\[\[[^\[\]\n]{1,200}\]\]")
 
 _ALPHABET = "\n\t !\"#$%&'()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~ßàâäáçéèêëíîïñóôöúùûüœ°º–—«»„“”’"
@@ -63,10 +68,10 @@ def _fill_ids() -> None:
 _fill_ids()
 
 
-def encode(windows: list[str]) -> np.ndarray:
-    """[window, position] of symbols, padded with 0."""
+def encode(windows: list[str], rows: int = 0) -> np.ndarray:
+    """[window, position] of symbols, padded with 0; at least so many rows."""
     longest = max(map(len, windows))
-    out = np.zeros((len(windows), longest), np.uint8)
+    out = np.zeros((max(len(windows), rows), longest), np.uint8)
     for i, w in enumerate(windows):
         out[i, : len(w)] = _IDS[np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)]
     return out
@@ -96,16 +101,21 @@ class Tagger:
         self.safe = float(max(a[1:, 1:].max(), enter + leave, 0.0))
 
     @np.errstate(over="ignore")
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """[tag, position, window]"""
+    def emissions(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """[tag, position, window]. Either direction begins at a window's own end: for the backward one the windows
+        stand at the right side, so that padding comes after what is read and has no effect."""
         b, t = ids.shape
         h, outs = self.h, np.empty((2, t, b, self.h), np.float32)
-        columns = np.ascontiguousarray(ids.T).astype(np.intp)
+        gap = t - lens
+        at = np.arange(t)[:, None]
+        left = np.ascontiguousarray(ids.T).astype(np.intp)
+        right = np.take_along_axis(left, np.maximum(at - gap, 0), 0)
         for d in range(2):
             state, cell, table, u = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32), self.W[d], self.U[d]
             z, came, squashed = np.empty((b, 4 * h), np.float32), np.empty((b, 4 * h), np.float32), np.empty((b, h), np.float32)
             i, f, o, g = z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :]
-            for s in range(t) if d == 0 else range(t - 1, -1, -1):
+            columns = right if d else left
+            for s in range(t - 1, -1, -1) if d else range(t):
                 np.matmul(state, u, out=z)
                 np.take(table, columns[s], 0, out=came, mode="clip")
                 z += came
@@ -122,31 +132,42 @@ class Tagger:
                 state = outs[d, s]
                 np.multiply(o, squashed, out=state)
         o = self.w["O"]
-        e = o[:h].T @ outs[0].reshape(-1, h).T
-        e += o[h:].T @ outs[1].reshape(-1, h).T
-        return e.reshape(-1, t, b) + self.w["o"][:, None, None]
-
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tag path of each window, [window, position]."""
-        e = self.emissions(ids)
+        e = (o[:h].T @ outs[0].reshape(-1, h).T).reshape(-1, t, b)
+        back = (o[h:].T @ outs[1].reshape(-1, h).T).reshape(-1, t, b)
+        e += np.take_along_axis(back, np.minimum(at + gap, t - 1)[None], 1) if gap.any() else back
+        e += self.w["o"][:, None, None]
+        return e
+
+    def decode(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The best tag path of each window, [window, position]; what stands after a window's end means nothing."""
+        e = self.emissions(ids, lens)
         path = np.zeros(ids.shape, np.uint8)
         # Where "outside" leads at every character by more than any change of tags can win, its path is the best one.
-        lead = (e[0] - e[1:].max(0)).min(0)
-        unsure = np.flatnonzero(lead <= self.safe)
+        lead = e[0] - e[1:].max(0)
+        lead[np.arange(len(lead))[:, None] >= lens] = np.inf
+        unsure = np.flatnonzero(lead.min(0) <= self.safe)
         if len(unsure):
-            path[unsure] = self._viterbi(np.ascontiguousarray(e[:, :, unsure]))
+            path[unsure] = self._viterbi(np.ascontiguousarray(e[:, :, unsure]), lens[unsure])
         return path
 
-    def _viterbi(self, e: np.ndarray) -> np.ndarray:
+    def _viterbi(self, e: np.ndarray, lens: np.ndarray) -> np.ndarray:
         k, t, b = e.shape
         scores, trans = np.empty((t, k, b), np.float32), self.w["A"][:, :, None]
         scores[0] = e[:, 0] + self.w["first"][:, None]
+        ended = lens.min()
         for s in range(1, t):
             np.add((scores[s - 1][:, None, :] + trans).max(0), e[:, s], out=scores[s])
+            if s >= ended:
+                # A window that has ended keeps its last scores.
+                over = s >= lens
+                scores[s][:, over] = scores[s - 1][:, over]
         path, into = np.empty((b, t), np.uint8), np.ascontiguousarray(self.w["A"].T)
         path[:, -1] = (scores[-1] + self.w["last"][:, None]).argmax(0)
         for s in range(t - 1, 0, -1):
             path[:, s - 1] = (scores[s - 1].T + into[path[:, s]]).argmax(1)
+            if s >= ended:
+                over = s >= lens
+                path[over, s - 1] = path[over, s]
         return path
 
 
@@ -224,13 +245,13 @@ def reconcile(found: list[tuple[int, int, int, bool, bool]]) -> list[tuple[int,
 # The exact check: the forms that a mention of each kind can have.
 _AT, _DOT = r"(?:\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?)", r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)"
 _EMAIL = re.compile(rf"[^\W_][\w.+%-]*{_AT}[\w-]+(?:{_DOT}[^\W_][\w-]*)+")
-_PHONE = re.compile(r"(?:\(?\+\d{1,3}\)?|\(\d{2,5}\)|\d)[\d .()/–-]*\d(?:\s?(?:ext|x|Durchwahl|poste)\.?\s?\d+)?")
+_PHONE = re.compile(r"(?:\(?\+\d{1,3}\)?|\(\d{2,5}\)|\d)(?:[ .()/–-]{0,3}\d)+(?:\s?(?:ext|x|Durchwahl|poste)\.?\s?\d+)?")
 _ID = re.compile(r"(?:[A-ZÑ]{1,3}[ -]?)?\d(?:[ .-]?[\dA-ZÑ]{1,9})*(?<=[\dA-ZÑ])|[A-ZÑ]{1,3}[A-Z0-9]{1,4}(?:[ -]?[\dA-ZÑ]{2,9})+")
 _TITLE = re.compile(r"(?:Mrs?|Ms|Miss|Mme|Mlle|Dr|Prof|Professor|Herrn?|Frau|Fräulein|Hr|Fr|Sra?|Srta|Don|Doña|Dña|Sir|Lady|INFO|WARN|Contact(?:er)?|Avisar a|From)(?:\.\s*|\s+)(?=\S)")
 # Words of letters and logs that stand before a name count as titles. One letter is one only before a whole name; before a family name it is an initial.
 _SHORT_TITLE = re.compile(rf"[MD]\.ª?\s+(?=[{_CAP}][\w'’-]*[.,]?,?\s+\S)")
 _WORD = rf"[{_CAP}][\w'’]+(?:-[{_CAP}][\w'’]*)*"
-_NAME = re.compile(rf"(?:{_WORD}|[{_CAP}]\.(?:-?[{_CAP}]\.)*),?(?:\s(?:[{_CAP}]\.|{_PARTICLE}|{_WORD})(?=[\s,.;:|)<\]/—–-]|$))+")
+_NAME = re.compile(rf"(?:{_PARTICLE}\s)*(?:{_WORD}|[{_CAP}]\.(?:-?[{_CAP}]\.)*),?(?:\s(?:[{_CAP}]\.|{_PARTICLE}|{_WORD})(?=[\s,.;:|)<\]/—–-]|$))+")
 
 
 def snap(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
@@ -252,9 +273,7 @@ def snap(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
             return None
         s, e = best[1:]
         digits = sum(c.isdigit() for c in text[s:e])
-        if kind == "phone" and not 7 <= digits <= 19 or kind == "id_number" and not 5 <= digits <= 16:
-            return None
-        return s, e
+        return (s, e) if kind == "email" or digits >= LEAST_DIGITS else None
     while end < n and text[end - 1].isalnum() and text[end].isalnum():
         end += 1
     if kind == "name":
@@ -264,7 +283,7 @@ def snap(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
         if m := _SHORT_TITLE.match(text, start, end):
             start = m.end()
         m = _NAME.match(text, start, min(n, end + 1))
-        if not m or m.end() - start < 5:
+        if not m:
             return None
         return start, min(m.end(), end)
     body = text[start:end].rstrip(" \n,;.|/—–-")
@@ -274,25 +293,28 @@ def snap(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
 
 
 class Finder:
-    """Finds mentions in texts; remembers the spans of windows it has seen."""
+    """Finds mentions in texts; remembers the spans of windows it has seen. With gate=False windows cover the whole
+    texts, not just the surroundings of what could be a mention."""
 
-    def __init__(self, weights: str = WEIGHTS, batch: int = 512):
-        self.tagger, self.batch, self.seen = load_tagger(weights), batch, {}
+    def __init__(self, weights: str = WEIGHTS, gate: bool = True):
+        self.tagger, self.gate, self.seen = load_tagger(weights), gate, {}
 
     def tag(self, windows: list[str]) -> dict[str, list[tuple[int, int, int]]]:
         fresh = sorted({w for w in windows if w not in self.seen}, key=len)
         if len(self.seen) + len(fresh) > CACHED:
             self.seen.clear()
             fresh = sorted(set(windows), key=len)
-        for i in range(0, len(fresh), self.batch):
-            part = fresh[i : i + self.batch]
-            for w, path in zip(part, self.tagger.decode(encode(part)), strict=True):
+        for i in range(0, len(fresh), ROWS):
+            part = fresh[i : i + ROWS]
+            lens = np.ones(ROWS, np.intp)
+            lens[: len(part)] = [len(w) for w in part]
+            for w, path in zip(part, self.tagger.decode(encode(part, ROWS), lens), strict=False):
                 self.seen[w] = tagged_spans(path, len(w))
         return self.seen
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the mentions of each text, in order, in characters."""
-        cut = [list(stretches(t)) if t else [] for t in texts]
+        cut = [list(stretches(t) if self.gate else _windows(t, 0, len(t))) if t else [] for t in texts]
         out: list[list[tuple[int, int, str]]] = []
         seen = self.tag([w for c in cut for _, w in c])
         for text, windows in zip(texts, cut, strict=True):
@@ -311,7 +333,7 @@ class Finder:
         return out
 
 
-def _rows(finder_of: list, weights: str, frame: Columns, chars: int = 400_000) -> Iterator[list[tuple]]:
+def _rows(finder_of: list, weights: str, frame: Columns, chars: int = 1_600_000) -> Iterator[list[tuple]]:
     """(doc_id, text, spans) of a batch's rows, in parts of about so many characters."""
     if not finder_of:
         finder_of.append(Finder(weights))

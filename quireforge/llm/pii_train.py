@@ -1,8 +1,10 @@
-"""Training of the mention tagger, in numpy: ``python -m quireforge.llm.pii_train DOCUMENTS KNOWN_NAMES WEIGHTS``.
+"""Training of the mention tagger, in numpy: ``python -m quireforge.llm.pii_train DOCUMENTS KNOWN_NAMES WEIGHTS
+[SECONDS [START]]``, where START are weights to go on from.
 
 There are no labelled texts, so spans are labelled here by cues (what stands before and after a mention) and the list
-of known names, on a bounded sample of documents; names and digits in labelled spans are then replaced at random, so
-that the network has to go by form and surroundings. Only training reads these labels.
+of known names, on a bounded sample of documents; names and digits in labelled spans are then replaced at random, and
+names and numbers of many forms and scripts are put into other sentences, so that the network has to go by form and
+surroundings, not by the cues. Batches hold windows of one length, so nothing is padded. Only training reads the labels.
 """
 
 from __future__ import annotations
@@ -148,6 +150,51 @@ def labelled_windows(texts: list[str], labeller: Labeller) -> tuple[list, list]:
     return with_spans, without
 
 
+_GIVEN = ["Jon", "Carla", "Šimon", "Łukasz", "Žofie", "Ørjan", "Chloë", "Ewan", "Ánxela", "Jürgen", "Đorđe", "Élise", "Ivo", "Mia", "Çağla", "Ştefan", "Ольга", "Иван", "Νίκος"]
+_FAMILY = ["Venn", "Smith", "Čapek", "Žižek", "Świątek", "Østby", "Nuñez", "O'Hara", "Müller-Kern", "Wu", "Li", "Kovář", "Ødegård", "Đurić", "Șerban", "Петров", "Παπάς", "Roy"]
+_BEFORE_NAME = ["", "", "", "Mr ", "Mrs ", "Dr. ", "Frau ", "Herr ", "M. ", "Mme ", "D. ", "by ", "to ", "with ", "von ", "par ", "por ", "and ", "from ", "signed "]
+
+
+def _any_name(rng: random.Random, known: list[tuple[str, str]]) -> str:
+    parts = {"given": _GIVEN, "family": _FAMILY}
+
+    def one(part: str) -> str:
+        listed = [n for n, p in known if p == part]
+        return rng.choice(listed) if listed and rng.random() < 0.3 else rng.choice(parts[part]) if rng.random() < 0.5 else _word(rng, "Xx")
+
+    given, family, more = one("given"), one("family"), f"{rng.choice('ABCDEHJKLMPRSTŠŁŽ')}."
+    link = rng.choice(["de la ", "von ", "van ", "de ", "di ", "du ", "del "])
+    forms = [f"{given} {family}"] * 6 + [f"{given} {link}{family}"] * 2 + [f"{given} {more} {family}", f"{more} {family}", f"{more} {family}", f"{family}, {given}", f"{family}, {more}", f"{given} {family}".upper(), f"{given} {family.upper()}"]
+    return rng.choice(forms)
+
+
+def _any_phone(rng: random.Random) -> str:
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    return rng.choice([f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)}-{d(3)}-{d(3)}-{d(3)}", f"0{d(3)} {d(6)}", f"({d(3)}) {d(3)}-{d(4)}", f"0{d(2)}/{d(7)}"])
+
+
+def insert(window: str, rng: random.Random, known: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """A window without mentions with a name or, now and then, a phone number put between two of its words."""
+    gaps = [m.end() for m in re.finditer(r"(?<=[a-zà-ÿ,]) (?=[a-zà-ÿ])", window)]
+    if not gaps:
+        return window, []
+    at = rng.choice(gaps)
+    phone = rng.random() < 0.12
+    lead, body = ("call " if rng.random() < 0.5 else "tel. ", _any_phone(rng)) if phone else (rng.choice(_BEFORE_NAME), _any_name(rng, known))
+    start = at + len(lead)
+    return f"{window[:at]}{lead}{body}{rng.choice([' ', ' ', ', '])}{window[at:]}", [(start, start + len(body), pii.KINDS.index("phone" if phone else "name"))]
+
+
+def crop(batch: list[tuple[str, list]], rng: random.Random) -> list[tuple[str, list]]:
+    """The windows cut to the length of the shortest, at random places."""
+    n = min(len(w) for w, _ in batch)
+    out = []
+    for w, spans in batch:
+        a = rng.choice([0, len(w) - n, rng.randint(0, len(w) - n)])
+        out.append((w[a : a + n], [(max(s - a, 0), min(e - a, n), k) for s, e, k in spans if s < a + n and e > a]))
+    return out
+
+
 def tags_of(batch: list[tuple[str, list]], length: int) -> np.ndarray:
     y = np.zeros((len(batch), length), np.int64)
     for i, (_, spans) in enumerate(batch):
@@ -263,8 +310,8 @@ class Model:
             self.p[n] -= (rate * mean / (np.sqrt(var) + 1e-8)).astype(np.float32)
 
 
-def train(texts: list[str], names: list[tuple[str, str]], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, seed: int = SEED, seconds: float = 1e9, log=print) -> dict[str, np.ndarray]:
-    """Weights from labelled windows of the texts; ends after steps or seconds."""
+def train(texts: list[str], names: list[tuple[str, str]], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, seed: int = SEED, seconds: float = 1e9, log=print, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Weights from labelled windows of the texts; ends after steps or seconds. Goes on from ``start`` if it is given."""
     rng = random.Random(seed)
     positive, negative = labelled_windows(texts, Labeller(names, texts))
     log(f"{len(positive)} windows with mentions, {len(negative)} without")
@@ -273,19 +320,23 @@ def train(texts: list[str], names: list[tuple[str, str]], hidden: int = HIDDEN,
     negative = negative or positive
     # Numbers and signs that are no mention are rare among the windows, but the likeliest to be taken for one.
     hard = [x for x in negative if _HARD.search(x[0])] or negative
+    prose = [x for x in negative if not _HARD.search(x[0])] or negative
     model, began, shown = Model(hidden, seed), time.time(), 0.0
+    if start:
+        model.p = {n: np.asarray(a, np.float32) for n, a in start.items()}
     for step in range(steps):
-        part = step / steps
-        if time.time() - began > seconds:
+        part = max(step / steps, (time.time() - began) / seconds)
+        if part >= 1:
             break
         half = batch // 2
         pool = [vary(w, sp, rng) for w, sp in rng.choices(positive, k=half * 4)] + rng.choices(negative, k=(batch - half) * 3) + rng.choices(hard, k=batch - half)
-        pool.sort(key=lambda x: len(x[0]) + rng.random() * 20)
-        at = rng.randrange(4) * batch
-        chosen = pool[at : at + batch]
+        pool += [insert(w, rng, names) for w, _ in rng.choices(prose, k=batch)]
+        pool.sort(key=lambda x: len(x[0]) + rng.random() * 12)
+        at = rng.randrange(len(pool) - batch + 1)
+        chosen = crop(pool[at : at + batch], rng)
         ids = pii.encode([w for w, _ in chosen])
         value, g = model.loss(ids.astype(np.int64), tags_of(chosen, ids.shape[1]))
-        model.update(g, 6e-3 * (1 - part) ** 1.2 * min(1, (step + 1) / 50) + 1e-5)
+        model.update(g, (2e-3 if start else 6e-3) * (1 - part) ** 1.2 * min(1, (step + 1) / 50) + 1e-5)
         shown = 0.97 * shown + 0.03 * value if step else value
         if step % 100 == 0:
             log(f"step {step}: loss {shown:.3f}, {time.time() - began:.0f} s")
@@ -297,7 +348,11 @@ def main(args: list[str]) -> None:
 
     documents = pq.read_table(args[0], columns=["doc_id", "text"]).to_pandas().dropna().sort_values("doc_id").head(SAMPLE_DOCUMENTS)
     names = list(pq.read_table(args[1]).to_pandas().itertuples(index=False, name=None))
-    weights = train(documents["text"].tolist(), names, seconds=float(args[3]) if len(args) > 3 else 1e9)
+    start = None
+    if len(args) > 4:
+        with np.load(args[4]) as z:
+            start = dict(z)
+    weights = train(documents["text"].tolist(), names, seconds=float(args[3]) if len(args) > 3 else 1e9, start=start)
     np.savez_compressed(args[2], **weights)
 
 

@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quireforge.llm import pii, pii_train
 
@@ -29,11 +31,67 @@ def test_viterbi_equals_brute_force():
     k = pii.TAGS
     w = {"W": r.normal(0, 1, (2, pii.SYMBOLS, 12)), "U": r.normal(0, 1, (2, 3, 12)), "O": r.normal(0, 2, (6, k)), "o": r.normal(0, 1, k), "A": r.normal(0, 2, (k, k)), "first": r.normal(0, 1, k), "last": r.normal(0, 1, k)}
     t = pii.Tagger(w)
-    ids = pii.encode(["Ab1", "x@y"])
-    e, path = t.emissions(ids), t.decode(ids)
-    for b in range(2):
-        best = max(itertools.product(range(k), repeat=3), key=lambda p: w["first"][p[0]] + w["last"][p[2]] + sum(e[p[i], i, b] for i in range(3)) + w["A"][p[0], p[1]] + w["A"][p[1], p[2]])
-        assert tuple(path[b]) == best
+    words = ["Ab1", "x@y", "Q7", "é"]
+    ids, lens = pii.encode(words), np.array([len(x) for x in words])
+    e, path = t.emissions(ids, lens), t.decode(ids, lens)
+    for b, n in enumerate(lens):
+        best = max(itertools.product(range(k), repeat=int(n)), key=lambda p: w["first"][p[0]] + w["last"][p[-1]] + sum(e[p[i], i, b] for i in range(n)) + sum(w["A"][x, y] for x, y in zip(p, p[1:], strict=False)))
+        assert tuple(path[b][:n]) == best
+
+
+def test_padding_and_company_change_nothing():
+    """A window's numbers are the same bits alone, among others and beside longer ones."""
+    rng, tagger = random.Random(5), pii.load_tagger(pii.WEIGHTS)
+    text = "".join(a + " " for a, _ in SAMPLES) * 3
+    words = [text[a : a + rng.randrange(1, 150)] for a in (rng.randrange(len(text) - 150) for _ in range(200))]
+
+    def bits(part):
+        lens = np.ones(pii.ROWS, np.intp)
+        lens[: len(part)] = [len(x) for x in part]
+        e = tagger.emissions(pii.encode(part, pii.ROWS), lens)
+        return [e[:, : len(x), i].tobytes() for i, x in enumerate(part)]
+
+    together = bits(words)
+    assert all(bits([w]) == [b] for w, b in list(zip(words, together, strict=True))[::20])
+    order = rng.sample(range(len(words)), len(words))
+    mixed = bits([words[i] for i in order] + ["x" * 192])
+    assert [mixed[order.index(i)] for i in range(len(words))] == together
+
+
+def test_same_rows_for_any_split():
+    texts = [t for t, _ in SAMPLES] * 3 + ["Anna Lee " * 3000, "", None] + [t.upper() for t, _ in SAMPLES]
+    whole = pii.Finder().find(texts)
+    assert [pii.Finder().find([t])[0] for t in texts] == whole
+    assert [s for i in range(0, len(texts), 4) for s in pii.Finder().find(texts[i : i + 4])] == whole
+
+
+OTHER_NAMES = [
+    ("The ledger was handed to Jon Venn by Carla de la Cruz last week.", {"Jon Venn", "Carla de la Cruz"}), ("JOHN SMITH signed the book on a Monday.", {"JOHN SMITH"}),
+    ("A letter from Łukasz Žižek arrived, and Šimon Čapek read it.", {"Łukasz Žižek", "Šimon Čapek"}), ("The map was drawn by E. Holm in the autumn.", {"E. Holm"}),
+    ("It was sold to Wu, Mei in the yard.", {"Wu, Mei"}), ("Ольга Петрова wrote the note.", {"Ольга Петрова"}),
+]
+
+
+def test_names_outside_the_templates():
+    got = pii.Finder().find([t for t, _ in OTHER_NAMES])
+    hit = sum(len({t[s:e] for s, e, _ in spans} & want) for (t, want), spans in zip(OTHER_NAMES, got, strict=True))
+    assert hit >= 7 and hit / sum(len(w) for _, w in OTHER_NAMES) > 0.8
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.one_of(
+        st.from_regex(r"\+?[0-9](?:[ .()/–-]{0,3}[0-9]){4,14}", fullmatch=True), st.from_regex(r"[A-ZÑ]{0,3}[ -]?[0-9](?:[ .-]?[0-9A-ZÑ]{1,3}){2,4}[0-9]{2}", fullmatch=True),
+        st.from_regex(r"[a-z]{1,8}(?: ?@ ?|\[at\]| \(at\) )[a-z]{1,8}\.[a-z]{2,4}", fullmatch=True),
+        st.from_regex(r"[A-ZÀÉŠŁΩД](?:[a-zéš]{1,9}|\.),?\s(?:(?:von|de la|van|[A-Z]\.)\s){0,3}[A-ZÀÉŠŁΩД][a-zéš]{1,9}", fullmatch=True),
+    )
+)
+def test_every_form_is_looked_at(mention):
+    """What the exact check can accept lies in a window of the network, wherever it stands."""
+    text = "plain words " * 20 + mention + " and more plain words" * 10
+    s = 240
+    holds = [a <= s and s + len(mention) <= a + len(w) for a, w in pii.stretches(text)]
+    assert any(holds) or sum(c.isdigit() for c in mention) < pii.LEAST_DIGITS and "@" not in mention and "at" not in mention
 
 
 def test_gradients():
