@@ -28,7 +28,7 @@ _EMPTY = ", ".join("'" + w.replace("'", "''") + "'" for w in survivors.EMPTY_WOR
 _CLAIMS = rf"""
 WITH folded AS (SELECT entity_id, doc_id, value, ingested_at, regexp_replace(lower(key), '[^\p{{L}}\p{{N}}]+', '', 'g') AS k,
   lower(trim(regexp_replace(value, '[\s\x{{00A0}}\x{{2000}}-\x{{200B}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', ' ', 'g'))) AS f FROM entity_fields),
-claims AS (SELECT DISTINCT entity_id, l.label, doc_id, value, ingested_at AS stated_at FROM folded
+claims AS (SELECT DISTINCT entity_id, l.label, doc_id, value, f, ingested_at AS stated_at FROM folded
   JOIN field_labels l ON regexp_replace(lower(l.label), '[^\p{{L}}\p{{N}}]+', '', 'g') = k
   WHERE f NOT IN ({_EMPTY}) AND regexp_matches(f, '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(f, '\x{{FFFD}}|\[cut\]|\[…\]|\(…\)|\[\.\.\.\]|\(\.\.\.\)|(\.\.\.|…)$')),
 twice AS (SELECT entity_id FROM entity_fields GROUP BY entity_id HAVING count(DISTINCT doc_id) >= 2)
@@ -46,7 +46,22 @@ def p2_found(spark, d):
     return best.join(survivors.stated_twice(stated), "entity_id", "left_semi").select("entity_id", "label", "doc_id")
 
 
-@query("p2_survivors")
+@query(
+    "p2_survivors",
+    _CLAIMS.replace("WITH folded", "WITH RECURSIVE folded") + rf""", votes AS (SELECT DISTINCT entity_id, label, doc_id, regexp_replace(f, '\s*\.$', '') AS vote FROM claims),
+trust(step, doc_id, reliability, moved) AS (SELECT 0, doc_id, CAST({survivors.PRIOR_SHARE} AS DOUBLE), CAST(1 AS DOUBLE) FROM votes GROUP BY doc_id UNION ALL
+  SELECT step + 1, doc_id, now, max(abs(now - was)) OVER () FROM (SELECT any_value(step) AS step, doc_id, any_value(reliability) AS was,
+      (sum(share) + {survivors.PRIOR_SHARE * survivors.PRIOR_WEIGHT}) / (count(*) + {survivors.PRIOR_WEIGHT}) AS now
+    FROM (SELECT *, support / sum(support / n) OVER (PARTITION BY entity_id, label) AS share FROM (
+      SELECT v.*, t.step, t.reliability, sum(t.reliability) OVER same AS support, count(*) OVER same AS n FROM votes v JOIN trust t USING (doc_id) WHERE t.moved >= {survivors.TOLERANCE}
+      WINDOW same AS (PARTITION BY v.entity_id, v.label, v.vote))) GROUP BY doc_id)),
+settled AS (SELECT doc_id, reliability FROM trust WHERE step = (SELECT max(step) FROM trust)),
+backed AS (SELECT entity_id, label, vote, sum(reliability) AS support FROM votes JOIN settled USING (doc_id) GROUP BY ALL),
+shares AS (SELECT *, support / sum(support) OVER (PARTITION BY entity_id, label) AS share FROM backed)
+SELECT entity_id, label, value, doc_id, round(support, 6) AS support, round(share, 6) AS share
+FROM (SELECT *, regexp_replace(f, '\s*\.$', '') AS vote FROM claims) JOIN shares USING (entity_id, label, vote) JOIN settled USING (doc_id)
+QUALIFY row_number() OVER (PARTITION BY entity_id, label ORDER BY round(support, 9) DESC, round(reliability, 9) DESC, coalesce(stated_at, TIMESTAMP '0001-01-01') DESC, doc_id, value) = 1""",
+)
 def p2_survivors(spark, d):
     best = survivors.survivors(table(spark, d, "entity_fields"), table(spark, d, "field_labels"))
     return best.select("entity_id", "label", "value", "doc_id", F.round("support", 6).alias("support"), F.round("share", 6).alias("share"))
