@@ -13,8 +13,6 @@ from pyspark.sql.window import Window
 
 from ..scratch import Scratch
 
-SIBLING_BLOCK = 4096
-"""Width of an id block inside which siblings are summed in one window; more siblings take more blocks, not more rows."""
 RANGE_BLOCK = 1024
 """Preorder positions whose ids are kept together when descendants are looked up by range."""
 
@@ -30,8 +28,9 @@ class Hierarchy:
 def _nodes(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")).where("id is not null")
     one = rows.groupBy("id").agg(F.min("parent").alias("parent"))
-    known = one.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    return one.join(known, "parent", "left").select(
+    known = one.select(F.col("id").alias("at"), F.lit(True).alias("known"))
+    # Rows without parent look for themselves, so that they do not meet in one place.
+    return one.withColumn("at", F.coalesce("parent", "id")).join(known, "at", "left").select(
         "id",
         F.when(F.col("known"), F.col("parent")).alias("parent_id"),
         (F.col("parent").isNotNull() & F.col("known").isNull()).alias("dangling"),
@@ -50,21 +49,25 @@ def _sizes(s: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if now == 0 or (left is not None and now == left and now_image == image):
             break
         left, image = now, now_image
-        gained = active.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
-        hop = active.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        stepped = state.join(gained, "id", "left").join(hop, "up", "left")
-        # Sums of rows on a circle never end; they are cut off here as they are not used.
-        more = F.least(F.coalesce("more", F.lit(0)), F.lit(1 << 40))
-        fresh = s.cut(stepped.select("id", F.col("next").alias("up"), F.least(F.col("size") + more, F.lit(1 << 41)).alias("size")))
+        gained = active.groupBy(F.col("up").alias("id")).agg(F.try_sum("size").alias("more"))
+        hop = active.select(F.col("id").alias("at"), F.col("up").alias("next"))
+        # Finished rows look for themselves among the active ones: they find nothing, each in a place of its own.
+        stepped = state.join(gained, "id", "left").withColumn("at", F.coalesce("up", "id")).join(hop, "at", "left")
+        # Sums of rows on a circle never end; past the range of numbers they become null, as they are not used.
+        fresh = s.cut(stepped.select("id", F.col("next").alias("up"), F.try_add("size", F.coalesce("more", F.lit(0))).alias("size")))
         s.drop(state)
         state = fresh
     return state.select("id", "size"), state.where("up is not null").select("id", "up")
 
 
-def _offsets(tree: DataFrame) -> DataFrame:
-    """Offset of each row's preorder position from its parent's: 1 + sizes of the earlier siblings, by id."""
-    blocked = tree.withColumn("block", F.floor(F.col("id") / SIBLING_BLOCK))
-    kids = blocked.where("parent_id is not null")
+def _offsets(s: Scratch, tree: DataFrame) -> DataFrame:
+    """Offset of each row's preorder position from its parent's: 1 + sizes of the earlier siblings, by id.
+
+    Siblings are dealt out in order of (parent, id) to ranges of about equal numbers of rows, whatever the ids are; sums
+    go over the ranges of a parent first and then inside each."""
+    n = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kids = tree.where("parent_id is not null").select("id", "parent_id", "size").repartitionByRange(n, "parent_id", "id")
+    kids = s.cut(kids.withColumn("block", F.spark_partition_id()))
     per_block = kids.groupBy("parent_id", "block").agg(F.sum("size").alias("total"))
     over = Window.partitionBy("parent_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = per_block.select("parent_id", "block", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("before"))
@@ -119,7 +122,7 @@ def build_hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent
     if not tree:
         return Hierarchy(nodes, circular, below, None)
     sound = nodes.join(stuck.select("id"), "id", "left_anti").join(sizes, "id")
-    return Hierarchy(nodes, circular, below, _walk_down(s, _offsets(sound)))
+    return Hierarchy(nodes, circular, below, _walk_down(s, _offsets(s, sound)))
 
 
 def descendants(tree: DataFrame) -> DataFrame:

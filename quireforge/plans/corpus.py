@@ -17,8 +17,8 @@ up(id, anc) AS (SELECT id, parent_id FROM nodes WHERE parent_id IS NOT NULL
   UNION SELECT up.id, nodes.parent_id FROM up JOIN nodes ON nodes.id = up.anc WHERE nodes.parent_id IS NOT NULL)
 """
 _DOWN = _LINKS + """
-tree(id, parent_id, root_id, depth, path) AS (SELECT id, parent_id, id, 0, CAST(id AS VARCHAR) FROM nodes WHERE parent_id IS NULL
-  UNION ALL SELECT n.id, n.parent_id, t.root_id, t.depth + 1, t.path || '/' || n.id FROM tree t JOIN nodes n ON n.parent_id = t.id),
+tree(id, parent_id, root_id, depth, path, ids) AS (SELECT id, parent_id, id, 0, CAST(id AS VARCHAR), [id] FROM nodes WHERE parent_id IS NULL
+  UNION ALL SELECT n.id, n.parent_id, t.root_id, t.depth + 1, t.path || '/' || n.id, list_append(t.ids, n.id) FROM tree t JOIN nodes n ON n.parent_id = t.id),
 pairs(id, descendant_id, distance) AS (SELECT parent_id, id, 1 FROM tree WHERE parent_id IS NOT NULL
   UNION ALL SELECT t.parent_id, p.descendant_id, p.distance + 1 FROM pairs p JOIN tree t ON t.id = p.id WHERE t.parent_id IS NOT NULL)
 """
@@ -32,11 +32,12 @@ def p1_found(spark, d):
 @query(
     "p1_hierarchy",
     _DOWN + ", sizes AS (SELECT id, count(*) AS n FROM pairs GROUP BY id) "
-    "SELECT t.id, t.parent_id, t.root_id, t.depth, t.path, 1 + coalesce(n, 0) AS subtree FROM tree t LEFT JOIN sizes s ON s.id = t.id",
+    "SELECT *, lft + subtree - 1 AS rgt FROM (SELECT t.id, t.parent_id, t.root_id, t.depth, t.path, 1 + coalesce(n, 0) AS subtree, "
+    "row_number() OVER (PARTITION BY t.root_id ORDER BY t.ids) AS lft FROM tree t LEFT JOIN sizes s ON s.id = t.id)",
 )
 def p1_hierarchy(spark, d):
     tree = hierarchy.build_hierarchy(table(spark, d, "sections")).tree
-    return tree.select("id", "parent_id", "root_id", "depth", F.array_join("path", "/").alias("path"), F.col("size").alias("subtree"))
+    return tree.select("id", "parent_id", "root_id", "depth", F.array_join("path", "/").alias("path"), F.col("size").alias("subtree"), "lft", "rgt")
 
 
 @query("p1_descendants", _DOWN + "SELECT id, descendant_id, distance FROM pairs")
