@@ -86,7 +86,7 @@ found AS (SELECT r.link_id, r.field, r.seen_at, coalesce(a.key, b.key, c.key) IS
 @query("p3_found", _REFS + "SELECT DISTINCT link_id, field FROM found WHERE NOT live")
 def p3_found(spark, d):
     found = references.link_references(table(spark, d, "wikilinks"), table(spark, d, "documents"))
-    return found.where("not live").select(F.col("ref_id").alias("link_id"), "field").distinct()
+    return found.orphans().select(F.col("ref_id").alias("link_id"), "field").distinct()
 
 
 @query(
@@ -95,4 +95,4 @@ def p3_found(spark, d):
 count(*) FILTER (live AND first_at > seen_at) AS n_late FROM found GROUP BY 1, 2""",
 )
 def p3_orphan_report(spark, d):
-    return references.orphan_report(references.link_references(table(spark, d, "wikilinks"), table(spark, d, "documents")))
+    return references.link_references(table(spark, d, "wikilinks"), table(spark, d, "documents")).report()

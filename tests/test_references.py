@@ -16,7 +16,7 @@ def tables(spark, links, docs):
 
 def missing(spark, links, docs):
     found = r.link_references(*tables(spark, links, docs))
-    return {(x["ref_id"], x["field"]) for x in found.where("not live").collect()}
+    return {(x["ref_id"], x["field"]) for x in found.orphans().collect()}
 
 
 def test_ways_to_write_a_title(spark):
@@ -31,18 +31,28 @@ def test_nulls_blanks_and_repeats(spark):
     docs = [("Here", T[0], None)]
     links = [(1, None, None, T[0]), (2, "", "  ", T[0]), (3, "  ", "Gone", None), (3, "  ", "Gone", None), (None, "Gone", "Here", T[0])]
     assert missing(spark, links, docs) == {(3, "target"), (None, "source_document")}
-    report = {(x["field"], x["month"]): (x["n_refs"], x["n_missing"], x["n_late"]) for x in r.orphan_report(r.link_references(*tables(spark, links, docs))).collect()}
+    report = {(x["field"], x["month"]): (x["n_refs"], x["n_missing"], x["n_late"]) for x in r.link_references(*tables(spark, links, docs)).report().collect()}
     assert report == {("target", None): (1, 1, 0), ("target", "2024-01"): (1, 0, 0), ("source_document", "2024-01"): (1, 1, 0)}
 
 
 def test_late_documents_and_hot_key(spark):
     docs = [("Hot", T[1], None), ("Hot", T[2], None), ("Rare", T[2], None)]
     links = [(i, None, "hot", T[0] if i % 2 else T[2]) for i in range(400)] + [(1000 + i, "nowhere %d" % i, "Rare", T[0]) for i in range(20)]
-    report = {(x["field"], x["month"]): (x["n_refs"], x["n_missing"], x["n_late"]) for x in r.orphan_report(r.link_references(*tables(spark, links, docs))).collect()}
+    report = {(x["field"], x["month"]): (x["n_refs"], x["n_missing"], x["n_late"]) for x in r.link_references(*tables(spark, links, docs)).report().collect()}
     assert report[("target", "2024-01")] == (220, 0, 220) and report[("target", "2024-03")] == (200, 0, 0)
     assert report[("source_document", "2024-01")] == (20, 20, 0)
 
 
+def test_record_that_came_inside_a_month(spark):
+    day = lambda d: datetime(2024, 5, d)
+    docs = [("Hot", day(10), None), ("A/B", day(4), None)]
+    links = [(i, "A/B", "dir/hot.md", day(1 + i % 20)) for i in range(200)] + [(500 + i, None, "Gone", day(3)) for i in range(300)]
+    found = r.link_references(*tables(spark, links, docs))
+    report = {(x["field"], x["month"]): (x["n_refs"], x["n_missing"], x["n_late"]) for x in found.report().collect()}
+    assert report == {("target", "2024-05"): (500, 300, 90), ("source_document", "2024-05"): (200, 0, 30)}
+    assert found.orphans().count() == 300 and found.heavy.count() == 3
+
+
 def test_empty(spark):
     assert missing(spark, [], []) == set()
     assert missing(spark, [(1, "A", "B", T[0])], []) == {(1, "target"), (1, "source_document")}
