@@ -121,7 +121,7 @@ def p5_found(spark, d):
 
 @query("p5_paragraphs")
 def p5_paragraphs(spark, d):
-    return scans.Scan(table(spark, d, "pages"), table(spark, d, "documents")).paragraphs()
+    return scans.Scan(table(spark, d, "pages"), table(spark, d, "documents"), table(spark, d, "blocks")).paragraphs()
 
 
 @query("p8_found")

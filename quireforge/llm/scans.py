@@ -13,13 +13,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..arrow import Columns, map_lists, transpose
-from ..scratch import Scratch, spread
+from ..scratch import Scratch
 
 COMMON_WORDS = 50_000
 """So many of the most frequent sound words are known to every worker; rarer ones are looked up by a shuffle."""
@@ -47,6 +47,16 @@ def stroke_key(word: str) -> str:
     return word.lower().translate(_STROKES)
 
 
+def strokes_of(word: Column) -> Column:
+    """stroke_key in SQL: signs of one stroke at once, then those of several, whose strokes are none of these."""
+    one = {k: v for k, v in STROKES.items() if len(v) == 1}
+    out = F.translate(F.lower(word), "".join(one) + _NOISE, "".join(one.values()))
+    for sign, strokes in STROKES.items():
+        if len(strokes) > 1:
+            out = F.replace(out, F.lit(sign), F.lit(strokes))
+    return out
+
+
 def line_key(line: str) -> str:
     return re.sub(r"[\W_]+", "", line.lower().translate(_STROKES))
 
@@ -97,9 +107,26 @@ def page_number(part: str) -> tuple[int, str] | None:
     return None
 
 
-def unique_pages(pages: DataFrame) -> DataFrame:
-    """id, doc_id, page_no, text of pages with an id and a text, each id once."""
-    return pages.where("id is not null and text is not null").select("id", "doc_id", "page_no", "text").dropDuplicates(["id"])
+def unique_pages(pages: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """id, doc_id, page_no, text, own of pages with an id and a text, each id once.
+
+    Of different rows with one id the one counts that was not scanned (its ocr_conf is null), else the one with the most
+    confidence, at a tie the larger text. With blocks (page_id, col, ord, kind, text) a page that is nowhere stated with
+    a text takes those of its blocks but running lines, in order; own is false for it, as it has no lines."""
+    n = max(pages.sparkSession.sparkContext.defaultParallelism, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = pages.where("id is not null")
+    if blocks is None:
+        rows = rows.where("text is not null")
+    # As many partitions as that, so that the costly work on them later has all cores.
+    best = F.max(F.struct(F.col("text").isNotNull().alias("a"), F.coalesce("ocr_conf", F.lit(float("inf"))).alias("b"), "text", "doc_id", "page_no")).alias("p")
+    one = rows.select("id", "doc_id", "page_no", "text", "ocr_conf").repartition(n, "id").groupBy("id").agg(best)
+    one = one.select("id", "p.doc_id", "p.page_no", "p.text", F.lit(True).alias("own"))
+    if blocks is None:
+        return one
+    held = blocks.where("page_id is not null and text is not null and coalesce(kind, 'body') <> 'chrome'").groupBy(F.col("page_id").alias("id"))
+    held = held.agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("col", "ord", "text"))), lambda b: b["text"]), "\n\n").alias("blocks"))
+    lost = one.where("text is null").join(held, "id").select("id", "doc_id", "page_no", F.col("blocks").alias("text"), F.lit(False).alias("own"))
+    return one.where("text is not null").unionByName(lost)
 
 
 def _count_words(frame: Columns) -> Iterator[Columns]:
@@ -121,7 +148,7 @@ def _count_words(frame: Columns) -> Iterator[Columns]:
 
 
 def _edges(frame: Columns) -> Iterator[Columns]:
-    cols = ["id", "doc_id", "page_no", "line_no", "head", "foot", "line", "key", "parts", "number", "form", "first", "last", "alone", "heading", "start"]
+    cols = ["id", "doc_id", "page_no", "line_no", "head", "foot", "line", "key", "parts", "number", "form", "first", "last", "alone", "second", "heading", "start"]
     rows = []
     for pid, doc, no, text in zip(frame["id"], frame["doc_id"], frame["page_no"], frame["text"], strict=True):
         lines = text.split("\n")
@@ -141,37 +168,24 @@ def _edges(frame: Columns) -> Iterator[Columns]:
             tokens = line.split()
             keys = [line_key(x) for x in parts if not page_number(x)]
             starts_big = line[0].isupper() and line[-1] not in ".,;:" + _BREAK
-            rows.append((pid, doc, no, i + 1, head, foot, line, line_key(line), [k for k in keys if k], number, form, tokens[0], tokens[-1], starts_big, heading, line_key(" ".join(tokens[:2]))))
+            rows.append((pid, doc, no, i + 1, head, foot, line, line_key(line), [k for k in keys if k], number, form, tokens[0], tokens[-1], starts_big, head == 2 and starts_big and after, heading, line_key(" ".join(tokens[:2]))))
     yield transpose(rows, cols)
 
 
 _EDGE_SCHEMA = (
     "id long, doc_id long, page_no int, line_no int, head int, foot int, line string, key string, parts array<string>, number int, form string,"
-    " first string, last string, alone boolean, heading boolean, start string"
+    " first string, last string, alone boolean, second boolean, heading boolean, start string"
 )
 
 
-@F.pandas_udf(BooleanType())
-def _has_title(parts: pd.Series, title: pd.Series) -> pd.Series:
-    """One of the parts is the title but for a few misread characters."""
-    from difflib import SequenceMatcher
-
-    def near(ps, t) -> bool:
-        if t is None or len(t) < 4:
-            return False
-        return any(p == t or abs(len(p) - len(t)) <= 3 and SequenceMatcher(None, p, t, False).ratio() >= 0.9 for p in ps)
-
-    return pd.Series([near(p, t) for p, t in zip(parts, title, strict=True)], dtype=bool)
+def _near(part: Column, title: Column) -> Column:
+    """The same but for a few misread characters: at most one in ten, and three more or fewer."""
+    longer = F.greatest(F.length(part), F.length(title))
+    return (part == title) | ((F.abs(F.length(part) - F.length(title)) <= 3) & (F.levenshtein(part, title) * 10 <= longer))
 
 
-@F.pandas_udf(StringType())
-def _line_key(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else line_key(x))
-
-
-@F.pandas_udf(StringType())
-def _stroke_key(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else stroke_key(x))
+def _line_key(line: Column) -> Column:
+    return F.regexp_replace(strokes_of(line), r"[^\p{L}\p{N}]+", "")
 
 
 def running_lines(edges: DataFrame, starts: DataFrame, titles: DataFrame) -> DataFrame:
@@ -180,7 +194,7 @@ def running_lines(edges: DataFrame, starts: DataFrame, titles: DataFrame) -> Dat
     A head line is furniture if it holds the document's title, a page number in sequence, or what stands at the head of
     another page; or, below the first page, the name of a section that has its heading elsewhere. A foot line is, if it
     is a page number in sequence, stands at the foot of three in ten pages, or begins as only foot lines do in all
-    documents. Every table here has a few short rows a page."""
+    documents; the second line of a page before a blank one is, if it stands there on three in ten pages. Every table here has a few short rows a page."""
     at_edge = edges.where(f"head = 1 or foot <= {TAIL}")
     pages = edges.groupBy("doc_id").agg(F.count_distinct("page_no").alias("n_pages"), F.min("page_no").alias("first_page"))
     sequence = edges.where("number is not null").groupBy("doc_id", (F.col("number") - F.col("page_no")).alias("step")).agg(F.count_distinct("page_no").alias("in_step"))
@@ -189,7 +203,8 @@ def running_lines(edges: DataFrame, starts: DataFrame, titles: DataFrame) -> Dat
     alone = (F.size("parts") <= 1).alias("single")
     heads = at_edge.where("head = 1").select("doc_id", "page_no", alone, own)
     heads = heads.where("part <> ''").groupBy("doc_id", "single", "part").agg(F.count_distinct("page_no").alias("n"))
-    feet = at_edge.where(f"foot <= {TAIL} and alone").groupBy("doc_id", "key").agg(F.count_distinct("page_no").alias("n_feet"))
+    at = lambda where: F.count_distinct(F.when(F.expr(where), F.col("page_no")))
+    repeats = edges.where(f"alone and foot <= {TAIL} or second").groupBy("doc_id", "key").agg(at(f"alone and foot <= {TAIL}").alias("n_feet"), at("second").alias("n_second"))
     headings = edges.where("heading and key <> ''").select("doc_id", F.col("key").alias("part"), F.struct("page_no", "line_no").alias("place"))
     headings = headings.groupBy("doc_id", "part").agg(F.min("place").alias("low"), F.max("place").alias("high"))
     known = at_edge.where("head = 1").select("id", "doc_id", "page_no", "line_no", alone, own)
@@ -197,12 +212,13 @@ def running_lines(edges: DataFrame, starts: DataFrame, titles: DataFrame) -> Dat
         F.max("n").alias("n_heads"),
         F.max((F.col("low") != F.struct("page_no", "line_no")) | (F.col("high") != F.struct("page_no", "line_no"))).alias("has_heading"),
     )
-    usual = at_edge.where("foot <= 2 and alone and number is null").groupBy("start").agg(F.count("*").alias("at_foot"), F.approx_count_distinct("doc_id").alias("docs"))
+    usual = at_edge.where("foot <= 2 and alone and number is null").groupBy("start", "doc_id").agg(F.count("*").alias("n"))
+    usual = usual.groupBy("start").agg(F.sum("n").alias("at_foot"), F.count("doc_id").alias("docs"))
     usual = usual.join(starts, "start").where("docs >= 5 and at_foot >= 0.8 * n").select("start", F.lit(True).alias("usual"))
-    keyed = titles.groupBy("doc_id").agg(F.min("title").alias("title")).select("doc_id", _line_key("title").alias("title_key"))
+    keyed = titles.groupBy("doc_id").agg(F.min("title").alias("title")).select("doc_id", _line_key(F.col("title")).alias("title_key"))
     lines = (
         edges.withColumn("step", F.col("number") - F.col("page_no"))
-        .join(pages, "doc_id").join(sequence, ["doc_id", "step"], "left").join(feet, ["doc_id", "key"], "left")
+        .join(pages, "doc_id").join(sequence, ["doc_id", "step"], "left").join(repeats, ["doc_id", "key"], "left")
         .join(known, ["id", "line_no"], "left").join(usual, "start", "left").join(keyed, "doc_id", "left")
     )
     at_head = F.col("head") == 1
@@ -212,14 +228,15 @@ def running_lines(edges: DataFrame, starts: DataFrame, titles: DataFrame) -> Dat
         in_step | (F.col("form") == "marked") | ((F.col("form") == "plain") & (F.col("foot") == 1) & (F.col("n_pages") <= 2)) | ((F.col("form") == "roman") & (F.col("foot") == 1) & (F.col("n_pages") <= 2))
     )
     at_number = numbered & (at_head | (F.col("foot") <= 2))
-    titled = at_head & later & _has_title("parts", "title_key")
+    titled = at_head & later & (F.length("title_key") >= 4) & F.exists("parts", lambda p: _near(p, F.col("title_key")))
     twice = (F.coalesce("n_heads", F.lit(0)) >= 2) & (F.col("heading") | (F.size("parts") > 1))
     repeated = at_head & later & (twice | (F.coalesce("has_heading", F.lit(False)) & (F.length("line") <= 64)))
     beside = at_head & later & (F.col("form") == "beside") & (in_step | (F.size("parts") >= 1))
     footer = (F.col("foot") <= 3) & F.col("alone") & (
         (F.coalesce("n_feet", F.lit(0)) >= F.greatest(F.lit(2), F.ceil(0.3 * F.col("n_pages")))) | (F.coalesce("usual", F.lit(False)) & (F.col("foot") <= 2))
     )
-    return lines.withColumn("furniture", F.coalesce(at_number | titled | repeated | beside | footer, F.lit(False))).select(*edges.columns, "furniture")
+    second = F.col("second") & later & (F.coalesce("n_second", F.lit(0)) >= F.greatest(F.lit(2), F.ceil(0.3 * F.col("n_pages"))))
+    return lines.withColumn("furniture", F.coalesce(at_number | titled | repeated | beside | second | footer, F.lit(False))).select(*edges.columns, "furniture")
 
 
 def _settle_opened(counts: DataFrame) -> DataFrame:
@@ -230,12 +247,12 @@ def _settle_opened(counts: DataFrame) -> DataFrame:
     edged = F.startswith("word", F.lit("(")) | F.endswith("word", F.lit("("))
     plain, rest = counts.where(~edged), F.regexp_replace("word", r"^\(|\($", "")
     edge = lambda x: F.struct(F.startswith(x, F.lit("c")).alias("c_first"), F.endswith(x, F.lit("c")).alias("c_last"))
-    sound = plain.where(~F.col("word").rlike(_MIXED.pattern.replace("[^\\W\\d_]", "\\p{L}"))).withColumn("strokes", _stroke_key("word"))
+    sound = plain.where(~F.col("word").rlike(_MIXED.pattern.replace("[^\\W\\d_]", "\\p{L}"))).withColumn("strokes", strokes_of(F.col("word")))
     first, last = F.startswith("word", F.lit("(")), F.endswith("word", F.lit("("))
     tops = sound.groupBy("strokes").agg(F.max("n").alias("rest_n"))
     meant = sound.groupBy("strokes", edge(F.col("word")).alias("edge")).agg(F.max("n").alias("c_n"))
     asked = counts.where(edged).select("word", "n", rest.alias("rest"), first.alias("first"), last.alias("last"))
-    asked = asked.withColumn("strokes", _stroke_key("word")).withColumn("rest_strokes", _stroke_key("rest"))
+    asked = asked.withColumn("strokes", strokes_of(F.col("word"))).withColumn("rest_strokes", strokes_of(F.col("rest")))
     found = asked.join(meant, "strokes").where("(edge.c_first or not first) and (edge.c_last or not last)").groupBy("word").agg(F.max("c_n").alias("c_n"))
     met = asked.join(found, "word", "left").join(tops.withColumnRenamed("strokes", "rest_strokes"), "rest_strokes", "left")
     misread = F.coalesce((F.col("c_n") >= 25 * F.coalesce("rest_n", F.lit(0))) & (F.col("c_n") >= 2 * F.col("n")) & (F.length("word") >= 3), F.lit(False))
@@ -248,7 +265,7 @@ def vocabulary(counts: DataFrame) -> DataFrame:
 
     A word is misread if one with the same strokes is far more frequent, or if digits or signs stand between its
     letters. Then best is the nearest in writing of the frequent words of its strokes, or null if there is none."""
-    keyed = _settle_opened(counts).withColumn("strokes", _stroke_key("word"))
+    keyed = _settle_opened(counts).withColumn("strokes", strokes_of(F.col("word")))
     mixed = F.col("word").rlike(_MIXED.pattern.replace("[^\\W\\d_]", "\\p{L}"))
     keyed = keyed.withColumn("mixed", mixed)
     # Of words with the same strokes all that are not far rarer than the first can be meant; of these the one that is
@@ -335,7 +352,7 @@ def judge_breaks(breaks: DataFrame, words: DataFrame) -> DataFrame:
     Soft hyphens and not-signs are always breaks. A hyphen before a conjunction or a capital stays. A '(' at the edge of
     a part is kept as a misread c if only so the vocabulary has the word, or has it 25 times as often."""
     parts = breaks.withColumn("p", _break_parts("word", "next")).select(*breaks.columns, "p.*").where("a <> '' and b <> ''")
-    by_key = words.where("not misread").select(_stroke_key("word").alias("k"), "word", "n").groupBy("k").agg(F.max(F.struct("n", "word")).alias("v"))
+    by_key = words.where("not misread").select(strokes_of(F.col("word")).alias("k"), "word", "n").groupBy("k").agg(F.max(F.struct("n", "word")).alias("v"))
     keys = ("joined", "kept", "joined_open", "kept_open")
     asked = parts.select(F.explode(F.array(*keys)).alias("k")).where("k is not null").distinct().join(by_key, "k")
     met = parts
@@ -356,10 +373,10 @@ def judge_breaks(breaks: DataFrame, words: DataFrame) -> DataFrame:
 class Scan:
     """What is known of the pages: pages, lines (edges with furniture), breaks, odd (id, line_no, word, best)."""
 
-    def __init__(self, pages: DataFrame, titles: DataFrame):
+    def __init__(self, pages: DataFrame, titles: DataFrame, blocks: DataFrame | None = None):
         s = Scratch(pages.sparkSession, "scans")
-        self.scratch = s
-        self.pages = spread(s.cut(unique_pages(pages)))
+        self.scratch, self.filled = s, blocks is not None
+        self.pages = s.cut(unique_pages(pages, blocks))
         counted = s.cut(map_lists(self.pages.select("text"), _count_words, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")))
         self.words = s.cut(vocabulary(counted.where("kind = 'w'").select("word", "n")))
         edges = s.cut(map_lists(self.pages, _edges, _EDGE_SCHEMA))
@@ -373,7 +390,8 @@ class Scan:
         self.breaks = s.cut(judge_breaks(inner.unionByName(_edge_breaks(self.lines)), self.words))
 
     def found(self) -> DataFrame:
-        """(page_id, line_no, kind): furniture, hyphen and misread lines, each once."""
+        """(page_id, line_no, kind): furniture, hyphen and misread lines, each once. Pages whose text comes from their
+        blocks have no lines of their own and are left out."""
         row = lambda df, kind: df.select(F.col("id").alias("page_id"), "line_no", F.lit(kind).alias("kind"))
         furniture = self.lines.where("furniture").select("id", "line_no")
         broken = self.breaks.where("broken")
@@ -385,7 +403,8 @@ class Scan:
         odd_front = broken.where(F.col("a").rlike(mixed)).select("id", "line_no")
         odd_back = broken.where(F.col("b").rlike(mixed)).select(F.col("next_id").alias("id"), F.col("next_line").alias("line_no"))
         misread = self.odd.select("id", "line_no").union(front).union(back).union(odd_front).union(odd_back).distinct().join(furniture, ["id", "line_no"], "left_anti")
-        return row(furniture, "furniture").union(row(broken.select("id", "line_no").distinct(), "hyphen")).union(row(misread, "misread")).distinct()
+        found = row(furniture, "furniture").union(row(broken.select("id", "line_no").distinct(), "hyphen")).union(row(misread, "misread")).distinct()
+        return found.join(self.pages.where("not own").select(F.col("id").alias("page_id")), "page_id", "left_anti") if self.filled else found
 
     def paragraphs(self) -> DataFrame:
         """(doc_id, paragraph, text): continuous paragraphs of each paged document, in order from 1."""

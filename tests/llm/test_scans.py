@@ -94,6 +94,36 @@ def test_brackets_that_were_a_c(spark):
     assert "mosaic (see the key)" in text
 
 
+def test_running_lines_of_two_lines(spark):
+    pages = [(i, d, p, t if p == 1 else t.replace("\n\n", "\nPrinted for the guild\n\n", 1)) for i, d, p, t in book()]
+    got = kinds(scan(spark, pages, [(1, "The Granary of Losebo")]).found())
+    for i, _, p, t in pages:
+        marked = {t.split("\n")[n - 1] for (pid, n), k in got.items() if pid == i and "furniture" in k}
+        assert ("Printed for the guild" in marked) == (p > 1) and not any(x in marked for x in BODY)
+
+
+def test_which_row_of_a_page_counts_and_pages_from_blocks(spark):
+    pages = spark.createDataFrame(
+        [(1, 1, 1, "low one", 40.0), (1, 1, 1, "high one", 90.0), (2, 1, 2, "scanned", 99.0), (2, 1, 2, "native", None), (3, 1, 3, None, None), (4, 1, 4, None, 10.0), (4, 1, 4, "stated", 5.0), (5, 1, 5, None, None)],
+        "id long, doc_id long, page_no int, text string, ocr_conf float",
+    )
+    blocks = spark.createDataFrame(
+        [(3, 1, 0, "body", "right column"), (3, 0, 1, "body", "second para-\ngraph"), (3, 0, 0, "heading", "Head"), (3, 0, 0, "heading", "Head"), (3, 0, 2, "chrome", "Page 3"), (3, 0, 3, "body", None), (4, 0, 0, "body", "unused"), (9, 0, 0, "body", "lost"), (None, 0, 0, "body", "x")],
+        "page_id long, col int, ord int, kind string, text string",
+    )
+    got = {r["id"]: (r["text"], r["own"]) for r in scans.unique_pages(pages, blocks).collect()}
+    assert got == {1: ("high one", True), 2: ("native", True), 3: ("Head\n\nsecond para-\ngraph\n\nright column", False), 4: ("stated", True)}
+    assert {r["id"]: r["text"] for r in scans.unique_pages(pages).collect()} == {1: "high one", 2: "native", 4: "stated"}
+    s = scans.Scan(pages, spark.createDataFrame([], "doc_id long, title string"), blocks)
+    assert "second paragraph" in " ".join(r["text"] for r in s.paragraphs().collect()) and {r["page_id"] for r in s.found().collect()} <= {1, 2, 4}
+
+
+def test_stroke_keys_in_sql(spark):
+    words = ["rnarket", "Qiiarry", "(opied", "ﬁnd", "a|b", "h0llow", "Über-d'un", "W@ter!", "", "日本", "ŒUVRE", "x" * 1000]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", scans.strokes_of(scans.F.col("w")).alias("k"), scans._line_key(scans.F.col("w")).alias("l"))
+    assert [(r["k"], r["l"]) for r in df.collect()] == [(scans.stroke_key(w), scans.line_key(w)) for w in words]
+
+
 def test_lone_numbers_in_the_text_stay(spark):
     pages = [(i, d, p, t.replace("\nWater", "\n\n904\n\nHarbor: 671\n\nWater")) for i, d, p, t in book()]
     marked = {k for k, v in kinds(scan(spark, pages, [(1, "The Granary of Losebo")]).found()).items() if "furniture" in v}
