@@ -29,8 +29,9 @@ def _running(df: DataFrame, group: str, bucket: Column, order: list[str], value:
 
 
 def mix_shares(targets: DataFrame, totals: DataFrame, budget: int | None) -> DataFrame:
-    """Per mix and source: target_share among all targets, fair_share among those with tokens, total, max_repeats and
-    the mix's budget: the most tokens for which every source with documents can give its share, at most ``budget``."""
+    """Per mix and source: target_share among all targets, fair_share among those with tokens, total, max_repeats, the
+    mix's budget, and short: the tokens of its share that a source cannot give, repeated as often as it may be. The
+    budget is the given one, else the most tokens for which every source with documents can give its share."""
     wanted = targets.where("mix_name is not null and source is not null and target_weight > 0").groupBy("mix_name", "source").agg(
         F.sum("target_weight").alias("weight"), F.when(F.min("max_repeats").isNotNull(), F.greatest(F.min("max_repeats"), F.lit(0))).alias("max_repeats")
     )
@@ -41,7 +42,9 @@ def mix_shares(targets: DataFrame, totals: DataFrame, budget: int | None) -> Dat
     met = met.withColumn("target_share", F.col("weight") / F.sum("weight").over(mix))
     met = met.withColumn("fair_share", F.when(has, F.col("weight") / F.sum(F.when(has, F.col("weight"))).over(mix)))
     most = F.min(F.col("total") * F.col("max_repeats") / F.col("fair_share")).over(mix)
-    return met.withColumn("budget", most if budget is None else F.least(most, F.lit(float(budget)))).drop("weight")
+    met = met.withColumn("budget", most if budget is None else F.lit(float(budget)))
+    gap = F.floor(F.col("budget") * F.col("fair_share") * (1 + 1e-12)) - F.col("total") * F.col("max_repeats")
+    return met.withColumn("short", F.greatest(F.coalesce(gap, F.lit(0)), F.lit(0)).cast("long")).drop("weight")
 
 
 def mix_sources(sized: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +53,9 @@ def mix_sources(sized: DataFrame, targets: DataFrame, budget: int | None = None,
     sized: doc_id, source, n_tokens, a row per document. Selection: mix_name, position (from 1, by virtual finish
     time), source, doc_id, repeat, n_tokens, of copies whose virtual finish time is within the budget. Documents
     without source, without tokens or of no target are not used; targets without documents reach nothing and the others
-    share their part. Report: every target with its shares, tokens and repeats. A null max_repeats counts as 1.
+    share their part. With a budget of one's own small sources fall short of it, and the mix is smaller by what they
+    lack; no other source is used above its share. Report: every target with its shares, tokens, repeats and what it is
+    short of. A null max_repeats counts as 1.
     """
     s = Scratch(sized.sparkSession, "mix")
     usable = s.cut(
@@ -75,6 +80,6 @@ def mix_sources(sized: DataFrame, targets: DataFrame, budget: int | None = None,
     report = shares.join(used, ["mix_name", "source"], "left").select(
         "mix_name", "source", "target_share", "max_repeats", F.col("total").alias("source_tokens"),
         F.coalesce("tokens", zero).alias("tokens"), F.coalesce("copies", zero).alias("copies"), F.coalesce("most_repeats", zero).alias("most_repeats"),
-        F.coalesce(F.coalesce("tokens", zero) / F.sum("tokens").over(mix), F.lit(0.0)).alias("actual_share"), "fair_share",
+        F.coalesce(F.coalesce("tokens", zero) / F.sum("tokens").over(mix), F.lit(0.0)).alias("actual_share"), "fair_share", "short",
     )
     return chosen, report

@@ -98,9 +98,13 @@ def p6_round_trip(spark, d):
     return tokens.decode_corpus(tokens.encode_corpus(table(spark, d, "documents"))).select("doc_id", F.col("text").alias("decoded"))
 
 
-def _mix(spark, d):
+def _mix(spark, d, budget=None):
     sized = tokens.count_tokens(table(spark, d, "documents"), keep=("source",))
-    return mixing.mix_sources(sized, table(spark, d, "mix_targets"))
+    return mixing.mix_sources(sized, table(spark, d, "mix_targets"), budget)
+
+
+def _rounded(report):
+    return report.select(*[F.round(c, 6).alias(c) if c.endswith("_share") else c for c in report.columns])
 
 
 @query("p7_selection")
@@ -110,8 +114,13 @@ def p7_selection(spark, d):
 
 @query("p7_shares")
 def p7_shares(spark, d):
-    report = _mix(spark, d)[1]
-    return report.select(*[F.round(c, 6).alias(c) if c.endswith("_share") else c for c in report.columns])
+    return _rounded(_mix(spark, d)[1])
+
+
+@query("p7_budget_shares")
+def p7_budget_shares(spark, d):
+    """Every mix with a budget of ten million tokens, whatever its sources hold."""
+    return _rounded(_mix(spark, d, 10_000_000)[1])
 
 
 @query("p5_found")

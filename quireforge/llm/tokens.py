@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, spread
@@ -25,7 +25,8 @@ NAME = "byte_bpe_50k"
 # Fixed value: the public pattern that splits texts for this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BATCH_CHARS = 4_000_000
-"""A batch of documents ends after so many characters; one text above that is a batch of its own."""
+"""A batch of documents ends after so many characters; the text that reaches them is its last, however long."""
+BATCHES_PER_SALT, MOST_TASKS = 20_000, 100_000
 
 
 @functools.lru_cache(2)
@@ -79,13 +80,14 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def split_corpus(documents: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(batch, doc_id, at): the numbers of each document's words in order; (batch, at, word): what the numbers mean."""
+def split_corpus(documents: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """(batch, doc_id, at): the numbers of each document's words in order; (batch, at, word): what the numbers mean; and
+    how many batches there are."""
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     split = scratch.cut(spread(rows).mapInArrow(_split, _SPLIT))
     docs = split.where("words is null").select("batch", "doc_id", "at")
     words = split.where("words is not null").select("batch", F.posexplode("words").alias("at", "word"))
-    return docs, words
+    return docs, words, split.where("words is not null").count()
 
 
 def encode_words(words: DataFrame, folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
@@ -124,29 +126,36 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, ids) of every row, without special tokens. Null and empty texts have an empty list; a blank text has
     the ids of its white space. Repeated ids stay repeated."""
     s = Scratch(documents.sparkSession, "tokens")
-    docs, words = split_corpus(documents, s, id_col, text_col)
+    docs, words, n = split_corpus(documents, s, id_col, text_col)
     distinct = encode_words(words.select("word").distinct(), folder, name)
-    table = words.join(distinct, "word").select(F.col("batch").alias("held_by"), "at", "ids")
-    return docs.groupBy("batch").cogroup(table.groupBy("held_by")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
+    # A word has at most one row for each batch that holds it; with very many batches its rows are dealt to salts.
+    salts = 1 + n // BATCHES_PER_SALT
+    salted = words.withColumn("salt", F.pmod(F.xxhash64("batch"), F.lit(salts)))
+    spread_out = distinct.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    table = salted.join(spread_out, ["word", "salt"]).select(F.col("batch").alias("held_by"), "at", "ids")
+    # About one batch a task, so that what a task holds does not grow with the corpus.
+    parts = max(1, min(n, MOST_TASKS))
+    return docs.repartition(parts, "batch").groupBy("batch").cogroup(table.repartition(parts, "held_by").groupBy("held_by")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
-def decode_corpus(encoded: DataFrame, folder: str = TOKENIZERS, name: str = NAME, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text) from ids, by a map-side join with the token-byte table, whose size the vocabulary fixes. An unknown
-    or null id fails. Ids that do not end at a character give the replacement character. Null or no ids give the empty
-    text. Repeated rows stay repeated."""
+def token_bytes(spark: SparkSession, folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
+    """(id, bytes) of the vocabulary, a table of fixed size."""
+    return spark.createDataFrame(sorted((i, b) for b, i in _ranks(folder, name).items()), "id int, bytes binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {i: b for b, i in _ranks(folder, name).items()}
-        for batch in batches:
-            ids = batch.column(1)
-            ids = ids.fill_null([]) if ids.null_count else ids
-            # One row's ids at a time become Python numbers; a batch of them would take many times its size.
-            bounds, flat = ids.offsets.to_numpy(), ids.values
-            rows = ((int(a), int(b)) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
-            texts = [b"".join(map(table.__getitem__, flat[a:b].to_pylist())).decode("utf-8", "replace") for a, b in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return encoded.select(F.col(id_col).alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+
+def decode_corpus(encoded: DataFrame, folder: str = TOKENIZERS, name: str = NAME, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text) from ids, by a join of every id with the token-byte table, broadcast as its size is fixed. Rows are
+    put together again where they were taken apart. An unknown or null id fails. Bytes that are no UTF-8, as where the
+    ids do not end at a character, give the replacement character. Null or no ids give the empty text. Repeated rows
+    stay repeated."""
+    table = F.broadcast(token_bytes(encoded.sparkSession, folder, name))
+    rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    rows = rows.repartition("row")
+    each = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("at", "id")).join(table, "id", "left")
+    known = F.when(F.col("at").isNull() | F.col("bytes").isNotNull(), F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("no token has the id "), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
+    held = each.select("row", "doc_id", "at", known.alias("bytes")).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("held"))
+    text = F.array_join(F.transform("held", lambda x: x["bytes"].cast("string")), "")
+    return held.select("doc_id", F.make_valid_utf8(text).alias("text"))
 
 
 def count_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, name: str = NAME, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -41,6 +41,16 @@ def test_budget_and_determinism(spark):
     assert sorted(r["doc_id"] for r in first) != sorted(r["doc_id"] for r in run(spark, docs, [("m", "a", 1.0, 1), ("m", "b", 3.0, 1)], budget=400, seed=5)[0])
 
 
+def test_budget_that_small_sources_cannot_fill(spark):
+    docs = [(i, "big", 10) for i in range(900)] + [(1000 + i, "small", 10) for i in range(20)]
+    chosen, report = run(spark, docs, [("m", "big", 1.0, 1), ("m", "small", 1.0, 3)], budget=4000)
+    big, small = report[("m", "big")], report[("m", "small")]
+    assert (big["tokens"], big["short"], small["tokens"], small["short"]) == (2000, 0, 600, 1400) and small["most_repeats"] == 3
+    assert abs(small["actual_share"] - 600 / 2600) < 1e-9 and len(chosen) == 260
+    _, report = run(spark, docs, [("m", "big", 1.0, 1), ("m", "small", 1.0, 3)])
+    assert report[("m", "big")]["tokens"] == report[("m", "small")]["tokens"] == 600 and {r["short"] for r in report.values()} == {0}
+
+
 def test_dirty_rows(spark):
     docs = [(1, None, 5), (2, "a", 0), (3, "a", None), (4, "a", 7), (None, "a", 3)]
     chosen, report = run(spark, docs, [("m", "a", 1.0, None), ("m", None, 1.0, 2), ("m", "b", 0.0, 2), (None, "a", 1.0, 2), ("m", "c", None, 1), ("m", "a", 1.0, None)])

@@ -23,8 +23,27 @@ def test_equals_tiktoken_and_comes_back(spark, monkeypatch):
 
 def test_each_word_is_encoded_once(spark):
     df = spark.createDataFrame([(i, "same words here " * 50) for i in range(20)], "doc_id long, text string")
-    _, words = tk.split_corpus(df, tk.Scratch(spark, "t"))
+    _, words, n = tk.split_corpus(df, tk.Scratch(spark, "t"))
     assert tk.encode_words(words.select("word").distinct()).count() == words.select("word").distinct().count() == 5
+    assert n == words.select("batch").distinct().count()
+
+
+def test_words_dealt_to_salts(spark, monkeypatch):
+    monkeypatch.setattr(tk, "BATCH_CHARS", 10)
+    monkeypatch.setattr(tk, "BATCHES_PER_SALT", 2)
+    df = spark.createDataFrame([(i, f"one word and {i}") for i in range(40)], "doc_id long, text string")
+    encode = tk.encoding().encode_ordinary
+    assert {r["doc_id"]: list(r["ids"]) for r in tk.encode_corpus(df).collect()} == {i: encode(f"one word and {i}") for i in range(40)}
+
+
+def test_decoding_of_odd_rows(spark):
+    ids = tk.encoding().encode_ordinary("日本")
+    rows = [(1, None), (2, []), (3, ids), (3, ids), (None, ids), (4, ids[:1]), (5, [1] * 50_000)]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in tk.decode_corpus(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect())
+    cut = tk.encoding().decode_bytes(ids[:1]).decode("utf-8", "replace")
+    assert got == sorted([("1", ""), ("2", ""), ("3", "日本"), ("3", "日本"), ("None", "日本"), ("4", cut), ("5", tk.encoding().decode([1]) * 50_000)])
+    with pytest.raises(Exception, match="null"):
+        tk.decode_corpus(spark.createDataFrame([(1, [5, None])], "doc_id long, ids array<int>")).collect()
 
 
 def test_empty_table(spark):
