@@ -26,6 +26,8 @@ NAME = "byte_bpe_50k"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BATCH_CHARS = 4_000_000
 """A batch of documents ends after so many characters; the text that reaches them is its last, however long."""
+BATCH_IDS = 1_000_000
+"""The same for rows of ids."""
 BATCHES_PER_SALT, MOST_TASKS = 20_000, 100_000
 
 
@@ -143,19 +145,69 @@ def token_bytes(spark: SparkSession, folder: str = TOKENIZERS, name: str = NAME)
     return spark.createDataFrame(sorted((i, b) for b, i in _ranks(folder, name).items()), "id int, bytes binary")
 
 
+_IDS = pa.schema([("batch", pa.string()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("held", pa.list_(pa.int32()))])
+
+
+def _gather_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (batch, doc_id, ids), and for each batch one row of the distinct ids that it holds."""
+
+    def flush(part: list[pa.RecordBatch]):
+        name = uuid.uuid4().hex
+        held = np.unique(np.concatenate([b.column(1).flatten().to_numpy(zero_copy_only=False) for b in part]).astype(np.int32))
+        for b in part:
+            yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows), b.column(0), b.column(1), pa.nulls(b.num_rows, pa.list_(pa.int32()))], schema=_IDS)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([held], pa.list_(pa.int32()))], schema=_IDS)
+
+    part, size = [], 0
+    for batch in batches:
+        if batch.column(1).flatten().null_count:
+            raise ValueError("null is no token id")
+        ends = np.diff(batch.column(1).offsets.to_numpy()).cumsum()
+        low = 0
+        # A batch of rows is cut where it reaches the number of ids that are gathered at once.
+        while low < batch.num_rows:
+            before = ends[low - 1] if low else 0
+            high = min(int(np.searchsorted(ends, before + BATCH_IDS - size)) + 1, batch.num_rows)
+            part.append(batch.slice(low, high - low))
+            size += int(ends[high - 1] - before)
+            low = high
+            if size >= BATCH_IDS:
+                yield from flush(part)
+                part, size = [], 0
+    if part:
+        yield from flush(part)
+
+
+def _spell(docs: pa.Table, table: pa.Table) -> pa.Table:
+    """Texts of a batch's documents, by gathering the bytes of each id."""
+    ids = docs["ids"].combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    bounds, flat = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy()
+    order, spelled = table["id"].to_numpy(), table["bytes"].to_pylist()
+    unknown = [int(i) for i, b in zip(order, spelled, strict=True) if b is None]
+    if unknown:
+        raise ValueError(f"no token has the id {unknown[0]}")
+    index = np.zeros(len(order), np.int64)
+    index[np.argsort(order)] = np.arange(len(order))
+    place = np.searchsorted(np.sort(order), flat)
+    by_place = [b for _, b in sorted(zip(index.tolist(), spelled, strict=True))]
+    texts = [b"".join(map(by_place.__getitem__, place[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return pa.table({"doc_id": docs["doc_id"], "text": pa.array(texts, pa.string())})
+
+
 def decode_corpus(encoded: DataFrame, folder: str = TOKENIZERS, name: str = NAME, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text) from ids, by a join of every id with the token-byte table, broadcast as its size is fixed. Rows are
-    put together again where they were taken apart. An unknown or null id fails. Bytes that are no UTF-8, as where the
-    ids do not end at a character, give the replacement character. Null or no ids give the empty text. Repeated rows
-    stay repeated."""
-    table = F.broadcast(token_bytes(encoded.sparkSession, folder, name))
-    rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    rows = rows.repartition("row")
-    each = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("at", "id")).join(table, "id", "left")
-    known = F.when(F.col("at").isNull() | F.col("bytes").isNotNull(), F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("no token has the id "), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
-    held = each.select("row", "doc_id", "at", known.alias("bytes")).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "bytes"))).alias("held"))
-    text = F.array_join(F.transform("held", lambda x: x["bytes"].cast("string")), "")
-    return held.select("doc_id", F.make_valid_utf8(text).alias("text"))
+    """(doc_id, text) from ids: as in encoding, each batch of rows sends its distinct ids once, these are joined with the
+    token-byte table (broadcast, as its size is fixed) and go back to be put in the order of the rows' ids. An unknown or
+    null id fails. Ids that do not end at a character give the replacement character. Null or no ids give the empty
+    text. Repeated rows stay repeated."""
+    s = Scratch(encoded.sparkSession, "texts")
+    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    split = s.cut(rows.mapInArrow(_gather_ids, "batch string, doc_id long, ids array<int>, held array<int>"))
+    held = split.where("held is not null").select(F.col("batch").alias("held_by"), F.explode_outer("held").alias("id"))
+    table = held.where("id is not null").join(F.broadcast(token_bytes(encoded.sparkSession, folder, name)), "id", "left").select("held_by", "id", "bytes")
+    parts = max(1, min(split.where("held is not null").count(), MOST_TASKS))
+    docs = split.where("held is null").select("batch", "doc_id", "ids").repartition(parts, "batch")
+    return docs.groupBy("batch").cogroup(table.repartition(parts, "held_by").groupBy("held_by")).applyInArrow(_spell, "doc_id long, text string")
 
 
 def count_tokens(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS, name: str = NAME, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -36,7 +36,9 @@ def test_words_dealt_to_salts(spark, monkeypatch):
     assert {r["doc_id"]: list(r["ids"]) for r in tk.encode_corpus(df).collect()} == {i: encode(f"one word and {i}") for i in range(40)}
 
 
-def test_decoding_of_odd_rows(spark):
+@pytest.mark.parametrize("size", [3, 1000, 1_000_000])
+def test_decoding_of_odd_rows(spark, monkeypatch, size):
+    monkeypatch.setattr(tk, "BATCH_IDS", size)
     ids = tk.encoding().encode_ordinary("日本")
     rows = [(1, None), (2, []), (3, ids), (3, ids), (None, ids), (4, ids[:1]), (5, [1] * 50_000)]
     got = sorted((str(r["doc_id"]), r["text"]) for r in tk.decode_corpus(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect())
