@@ -10,19 +10,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 Columns = dict[str, list]
+SLICE_BYTES = 4 << 20
+"""A batch goes to the function in slices of about so many bytes: as Python objects it takes many times its size."""
 
 
 def map_lists(df: DataFrame, f: Callable[[Columns], Iterator[Columns]], ddl: str) -> DataFrame:
     """df through f, which gets the columns of a batch and yields columns of the schema ``ddl``; columns that it leaves
-    out are null. Types are those of the schema, whatever a batch holds, also for none or only missing values."""
+    out are null. Types are those of the schema, whatever a batch holds, also for none or only missing values. Large
+    batches are handed over in slices."""
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            given = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            for out in f(given):
-                n = len(next(iter(out.values()))) if out else 0
-                yield pa.RecordBatch.from_arrays([pa.array(out.get(c.name, [None] * n), c.type) for c in schema], schema=schema)
+        for whole in batches:
+            step = max(1, whole.num_rows * SLICE_BYTES // max(whole.nbytes, 1))
+            for low in range(0, whole.num_rows, step):
+                batch = whole.slice(low, step)
+                given = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+                for out in f(given):
+                    n = len(next(iter(out.values()))) if out else 0
+                    yield pa.RecordBatch.from_arrays([pa.array(out.get(c.name, [None] * n), c.type) for c in schema], schema=schema)
 
     return df.mapInArrow(run, ddl)
 
