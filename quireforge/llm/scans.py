@@ -148,7 +148,7 @@ def _count_words(frame: Columns) -> Iterator[Columns]:
 
 
 def _edges(frame: Columns) -> Iterator[Columns]:
-    cols = ["id", "doc_id", "page_no", "line_no", "head", "foot", "line", "key", "parts", "number", "form", "first", "last", "alone", "second", "heading", "start"]
+    cols = ["id", "doc_id", "page_no", "line_no", "head", "foot", "size", "key", "parts", "number", "form", "first", "last", "alone", "second", "heading", "start"]
     rows = []
     for pid, doc, no, text in zip(frame["id"], frame["doc_id"], frame["page_no"], frame["text"], strict=True):
         lines = text.split("\n")
@@ -168,12 +168,12 @@ def _edges(frame: Columns) -> Iterator[Columns]:
             tokens = line.split()
             keys = [line_key(x) for x in parts if not page_number(x)]
             starts_big = line[0].isupper() and line[-1] not in ".,;:" + _BREAK
-            rows.append((pid, doc, no, i + 1, head, foot, line, line_key(line), [k for k in keys if k], number, form, tokens[0], tokens[-1], starts_big, head == 2 and starts_big and after, heading, line_key(" ".join(tokens[:2]))))
+            rows.append((pid, doc, no, i + 1, head, foot, len(line), line_key(line), [k for k in keys if k], number, form, tokens[0], tokens[-1], starts_big, head == 2 and starts_big and after, heading, line_key(" ".join(tokens[:2]))))
     yield transpose(rows, cols)
 
 
 _EDGE_SCHEMA = (
-    "id long, doc_id long, page_no int, line_no int, head int, foot int, line string, key string, parts array<string>, number int, form string,"
+    "id long, doc_id long, page_no int, line_no int, head int, foot int, size int, key string, parts array<string>, number int, form string,"
     " first string, last string, alone boolean, second boolean, heading boolean, start string"
 )
 
@@ -189,7 +189,7 @@ def _line_key(line: Column) -> Column:
 
 
 def running_lines(edges: DataFrame, starts: DataFrame, titles: DataFrame) -> DataFrame:
-    """edges with ``furniture``. starts: start, n (lines of all pages that begin so); titles: doc_id, title.
+    """The edges' places and end words with ``furniture``. starts: start, n (lines of all pages that begin so); titles: doc_id, title.
 
     A head line is furniture if it holds the document's title, a page number in sequence, or what stands at the head of
     another page; or, below the first page, the name of a section that has its heading elsewhere. A foot line is, if it
@@ -230,13 +230,13 @@ def running_lines(edges: DataFrame, starts: DataFrame, titles: DataFrame) -> Dat
     at_number = numbered & (at_head | (F.col("foot") <= 2))
     titled = at_head & later & (F.length("title_key") >= 4) & F.exists("parts", lambda p: _near(p, F.col("title_key")))
     twice = (F.coalesce("n_heads", F.lit(0)) >= 2) & (F.col("heading") | (F.size("parts") > 1))
-    repeated = at_head & later & (twice | (F.coalesce("has_heading", F.lit(False)) & (F.length("line") <= 64)))
+    repeated = at_head & later & (twice | (F.coalesce("has_heading", F.lit(False)) & (F.col("size") <= 64)))
     beside = at_head & later & (F.col("form") == "beside") & (in_step | (F.size("parts") >= 1))
     footer = (F.col("foot") <= 3) & F.col("alone") & (
         (F.coalesce("n_feet", F.lit(0)) >= F.greatest(F.lit(2), F.ceil(0.3 * F.col("n_pages")))) | (F.coalesce("usual", F.lit(False)) & (F.col("foot") <= 2))
     )
     second = F.col("second") & later & (F.coalesce("n_second", F.lit(0)) >= F.greatest(F.lit(2), F.ceil(0.3 * F.col("n_pages"))))
-    return lines.withColumn("furniture", F.coalesce(at_number | titled | repeated | beside | second | footer, F.lit(False))).select(*edges.columns, "furniture")
+    return lines.withColumn("furniture", F.coalesce(at_number | titled | repeated | beside | second | footer, F.lit(False))).select("id", "doc_id", "page_no", "line_no", "head", "foot", "first", "last", "furniture")
 
 
 def _settle_opened(counts: DataFrame) -> DataFrame:
@@ -382,12 +382,15 @@ class Scan:
         edges = s.cut(map_lists(self.pages, _edges, _EDGE_SCHEMA))
         starts = counted.where("kind = 's'").select(F.col("word").alias("start"), "n")
         self.lines = s.cut(running_lines(edges, starts, titles.select("doc_id", "title")))
+        s.drop(edges)
         common = {r[0] for r in self.words.where("not misread").orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").collect()}
         odd = s.cut(map_lists(self.pages.select("id", "text"), _odd_words(common), "id long, line_no int, word string, next_line int, next string"))
         wrong = self.words.where("misread").select("word", "best")
+        s.drop(counted)
         self.odd = s.cut(odd.where("next is null").select("id", "line_no", "word").join(wrong, "word"))
         inner = odd.where("next is not null").select("id", "line_no", "word", F.col("id").alias("next_id"), "next_line", "next")
         self.breaks = s.cut(judge_breaks(inner.unionByName(_edge_breaks(self.lines)), self.words))
+        s.drop(odd)
 
     def found(self) -> DataFrame:
         """(page_id, line_no, kind): furniture, hyphen and misread lines, each once. Pages whose text comes from their
