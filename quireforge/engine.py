@@ -14,7 +14,8 @@ from . import config, schema
 from .functions import text as tx
 from .operators import fulltext, layout, retrieve
 from .plans import pipeline
-from .sources import files, pdf, plain, rows, sql
+from .scratch import Scratch
+from .sources import cache, files, pdf, plain, rows, sql
 
 INGESTED = ["documents", "pages", "blocks"]
 
@@ -64,48 +65,70 @@ class Engine:
 
     # commands
 
-    def ingest(self, folder: str | None = None, force: bool = False, ocr: str | None = None, fetch=None) -> dict[str, int]:
-        """Read new and changed files and the sources of sources.toml. Unchanged content is skipped."""
+    def ingest(self, folder: str | None = None, force: bool = False, ocr: str | None = None, fetch=None, native=None) -> dict[str, int]:
+        """Read new and changed files and the sources of sources.toml. Unchanged content is skipped; a file or address
+        that can't be read is counted as failed and tried again the next time. fetch reads an address, native the words
+        of PDF files, where these are not those of ``sources``. What is read is written once, words of PDF files also
+        to a cache by content."""
+        s = Scratch(self.spark, "ingest")
         settings = config.load_settings(self.root)
         mode = ocr or settings.ocr
         old = self._tables(INGESTED)
         found = files.content_sha(files.route(files.discover(self.spark, folder or os.path.join(self.root, "raw"))))
-        shaped = files.with_fingerprint(files.structured_documents(found, fetch))
+        read = s.cut(files.structured_documents(found, fetch))
+        failed = read.where("error is not null").select("path", "error")
+        shaped = files.with_fingerprint(read.where("error is null"))
         shaped = shaped.select("path", "title", "sha256", F.when(F.col("reader") == "urls", "url").when(F.col("reader") == "markdown", "md").otherwise("adoc").alias("kind"), "frontmatter", "blocks", F.lit(None).cast("long").alias("bytes"))
         for doc in self._sources():
             shaped = shaped.unionByName(doc)
-        fresh = files.new_documents(shaped, old["documents"], force)
+        fresh = s.cut(files.new_documents(shaped, old["documents"], force))
         text = found.where("reader = 'plain'").select("path", "sha256", F.col("extension").alias("kind"), "length", plain.plain_text(F.col("content").cast("string"), F.col("path")).alias("text"))
         text = files.new_documents(text, old["documents"], force)
         scans = files.new_documents(found.where("reader = 'pdf'"), old["documents"], force)
         words = self._plain_words(text)
-        if pdf.available()["pdftotext"] and scans.limit(1).count():
-            native = pdf.native_words(scans)
+        if (native or pdf.available()["pdftotext"]) and scans.limit(1).count():
+            extracted = cache.extract_cached(scans, lambda new: (native or pdf.native_words)(new.select(F.col("sha256").alias("path"), "content")).withColumnRenamed("path", "sha256"), os.path.join(self.store, "words"), s)
+            held = s.cut(scans.select("path", "sha256").join(extracted, "sha256").drop("sha256"))
+            failed = failed.unionByName(held.where("error is not null").select("path", "error").distinct())
+            scans = scans.join(failed.select("path"), "path", "left_anti")
+            held = held.where("error is null").drop("error")
             if mode != "never" and pdf.available()["tesseract"]:
-                pages = pdf.thin_pages(native, settings.thin_text_chars) if mode == "auto" else native.select("path", "page_no").distinct()
-                native = pdf.merge_backends(native, pdf.scanned_words(scans.select("path", "content"), pages), mode, settings.thin_text_chars)
-            words = words.unionByName(native.select(words.columns))
+                pages = pdf.thin_pages(held, settings.thin_text_chars) if mode == "auto" else held.select("path", "page_no").distinct()
+                held = pdf.merge_backends(held, pdf.scanned_words(scans, pages), mode, settings.thin_text_chars)
+            words = words.unionByName(held.select(words.columns))
+        else:
+            scans = scans.limit(0)
+        words = s.cut(words)
         stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
         paged = text.select("path", "sha256", "kind", F.col("length").alias("bytes")).unionByName(scans.select("path", "sha256", F.lit("pdf").alias("kind"), F.col("length").alias("bytes")))
         paged = paged.select("path", stem.alias("title"), "sha256", "kind", F.lit(None).cast("string").alias("frontmatter"), "bytes")
         docs = fresh.select("path", "title", "sha256", "kind", "frontmatter", "bytes").unionByName(paged)
-        docs = docs.withColumn("doc_id", F.xxhash64("path").bitwiseAND(F.lit((1 << 31) - 1)))
+        docs = docs.withColumn("doc_id", F.xxhash64("path"))
         blocks = layout.strip_chrome(self._laid_out(words, docs))
         pages, block_rows = self._rows(fresh, docs, blocks, words)
-        counts = words.where("text is not null").groupBy("path").agg(F.max("page_no").alias("page_count"))
+        counts = words.groupBy("path").agg(F.max("page_no").alias("page_count"), F.max(F.col("confidence").isNotNull()).alias("ocr"))
         docs = docs.join(counts, "path", "left").select(
             "doc_id", "path", "sha256", "title", "kind", F.coalesce("page_count", F.lit(1)).alias("page_count"), "bytes", F.current_timestamp().alias("ingested_at"),
-            F.when(F.col("kind") == "pdf", "poppler").otherwise("plain").alias("extractor"), F.lit(False).alias("ocr"), "frontmatter",
+            F.when(F.col("ocr"), "tesseract").when(F.col("kind") == "pdf", "poppler").otherwise("plain").alias("extractor"), F.coalesce("ocr", F.lit(False)).alias("ocr"), "frontmatter",
         )
+        docs = s.cut(docs)
         n = docs.count()
+        self._one_id_a_path(old["documents"], docs)
         replaced = old["documents"].join(docs.select("path"), "path", "left_semi").select("doc_id")
         gone_pages = old["pages"].join(replaced, "doc_id", "left_semi").select(F.col("id").alias("page_id"))
-        known = found.count()
+        known, n_failed = found.count(), failed.select("path").distinct().count()
         self._save({
             "documents": files.upsert(old["documents"], docs), "pages": old["pages"].join(replaced, "doc_id", "left_anti").unionByName(pages, True),
             "blocks": old["blocks"].join(gone_pages, "page_id", "left_anti").unionByName(block_rows, True),
         })
-        return {"ingested": n, "skipped": max(known - n, 0), "failed": 0}
+        return {"ingested": n, "skipped": max(known - n - n_failed, 0), "failed": n_failed}
+
+    def _one_id_a_path(self, old: DataFrame, docs: DataFrame) -> None:
+        """Ids are 64-bit hashes of paths; should two paths ever have one, nothing is written."""
+        both = old.select("doc_id", "path").unionByName(docs.select("doc_id", "path"))
+        clash = both.groupBy("doc_id").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a <> b").first()
+        if clash:
+            raise ValueError(f"{clash['a']} and {clash['b']} have the same id; rename one of them")
 
     def _sources(self):
         path = os.path.join(self.root, "sources.toml")
@@ -132,7 +155,7 @@ class Engine:
         return layout.layout_pages(words.join(docs.select("path", "doc_id"), "path").drop("path", "confidence"))
 
     def _rows(self, fresh: DataFrame, docs: DataFrame, blocks: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-        page_id = lambda doc, no: doc * (1 << 20) + no
+        page_id = lambda doc, no: F.xxhash64(doc.cast("long"), no.cast("int"), F.lit("page"))
         ids = docs.select("path", "doc_id")
         shaped = fresh.join(ids, "path")
         own = shaped.select(
@@ -216,11 +239,11 @@ class Engine:
             written += 1
         sections = [r["section"] for r in retrieve.wiki_index(pages, today).orderBy("kind").toLocalIterator()]
         with open(os.path.join(out, "index.md"), "w") as f:
-            f.write(f"# Wiki Index\n\n_Last updated: {today}_\n\nEvery page above the centrality threshold, by kind.\n\n" + "".join(sections))
+            f.write(f"# Pages of this wiki\n\n_As of {today}_\n\nListed by kind; pages of too little weight are not written.\n\n" + "".join(sections))
         log = os.path.join(out, "log.md")
         fresh = not os.path.exists(log)
         with open(log, "a") as f:
-            f.write(("# Wiki Log\n\nAppend-only record of all wiki activity.\n\n" if fresh else "") + f"## [{today}] compile | wrote/updated {written} pages\n")
+            f.write(("# History\n\nOne entry for each time that the pages were written.\n\n" if fresh else "") + f"## [{today}] {written} pages written, {kept} left as they are\n")
         return {"written": written, "kept": kept}
 
     def stats(self) -> dict[str, int]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# The longest slug and the forms of links and tags.
 SLUG_MOST = 80
 WIKILINK = r"!?\[\[([^\]|\n]+?)(?:\|([^\]\n]+))?\]\]"
 TAG = r"(?U)(?:^|\s)#([\p{L}][\w/-]*)"

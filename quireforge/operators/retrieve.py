@@ -202,13 +202,13 @@ def wiki_pages(g: dict[str, DataFrame], today: str, least: float = 0.0) -> DataF
     quoted = F.array_join(F.transform(F.split(trimmed, "\r?\n"), lambda x: F.concat(F.lit("> "), x)), "\n")
     definition = F.when(
         F.col("definition").isNotNull(), F.concat(F.lit("## Definition\n\n"), quoted, F.lit("\n\n[Source: "), F.coalesce("document", F.lit("")), F.lit(" p."), F.col("page").cast("string"), F.lit("]\n\n"))
-    ).otherwise(F.lit("_No definition on file yet — this entity is known only from mentions elsewhere in the corpus._\n\n"))
+    ).otherwise(F.lit("_Nothing defines this so far; other texts only name it._\n\n"))
     keys = F.array_distinct(F.transform("fields", lambda f: f["key"]))
 
     def rows_of(k: Column) -> Column:
         mine = F.filter("fields", lambda f: f["key"] == k)
         lines = F.transform(mine, lambda f: F.concat(F.lit("| "), f["key"], F.lit(" | "), F.coalesce(f["value"], F.lit("")), F.lit(" | "), f["document"], F.lit(" |\n")))
-        clash = F.when(F.size(mine) > 1, F.concat(F.lit("| _⚠ "), F.size(mine).cast("string"), F.lit(" sources disagree on **"), k, F.lit("**_ | | |\n"))).otherwise("")
+        clash = F.when(F.size(mine) > 1, F.concat(F.lit("| _⚠ "), F.size(mine).cast("string"), F.lit(" statements differ about **"), k, F.lit("**_ | | |\n"))).otherwise("")
         return F.concat(F.array_join(lines, ""), clash)
 
     fields = F.when(F.size("fields") > 0, F.concat(F.lit("## Fields\n\n| key | value | source |\n|---|---|---|\n"), F.array_join(F.transform(keys, rows_of), ""), F.lit("\n"))).otherwise("")
@@ -228,9 +228,9 @@ def wiki_index(pages: DataFrame, today: str) -> DataFrame:
 
 
 def explore_markdown(items: list, query: str) -> str:
-    out = [f"# Results for: {query}\n\n"]
+    out = [f"# Found for: {query}\n\n"]
     if not items:
-        out.append("_No results found._\n")
+        out.append("_Nothing matches._\n")
     for r in items:
         if r["entity_name"] is not None:
             out.append(f"## {r['entity_name']} ({r['entity_kind'] or ''})\n\n")
@@ -241,7 +241,7 @@ def explore_markdown(items: list, query: str) -> str:
 def entity_markdown(view) -> str:
     out = [f"# {view['name']} ({view['kind']})\n\n"]
     if view["definition"] is None:
-        out.append("_No definition on file._\n\n")
+        out.append("_Nothing defines this so far._\n\n")
     else:
         out.append(f"{view['definition'].strip()}\n\n[Source: {view['document']} p.{view['page']}]\n\n")
     if view["fields"]:
@@ -254,14 +254,14 @@ def entity_markdown(view) -> str:
 
 
 def lint_markdown(clashes: list, lonely: list, broken: list) -> str:
-    out = ["# Lint Report\n\n", f"## Contradictions ({len(clashes)})\n\n"]
+    out = ["# Checks of the store\n\n", f"## Values that differ ({len(clashes)})\n\n"]
     for c in clashes:
-        out.append(f"- **{c['entity']}** — `{c['key']}` disagrees across sources:\n")
+        out.append(f"- **{c['entity']}** states `{c['key']}` in several ways:\n")
         out += [f"  - {v['value']} ({v['document']})\n" for v in c["values"]]
-    out.append("\n" if clashes else "None found.\n\n")
-    out.append(f"## Orphan entities ({len(lonely)})\n\n")
+    out.append("\n" if clashes else "None.\n\n")
+    out.append(f"## Entities without links or mentions ({len(lonely)})\n\n")
     out += [f"- {r['name']}\n" for r in lonely]
-    out.append("\n" if lonely else "None found.\n\n")
-    out.append(f"## Unresolved wikilinks ({len(broken)})\n\n")
-    out += [f"- [[{r['target']}]] in {r['source_document']} — no matching document\n" for r in broken] or ["None found.\n"]
+    out.append("\n" if lonely else "None.\n\n")
+    out.append(f"## Links that lead nowhere ({len(broken)})\n\n")
+    out += [f"- [[{r['target']}]] is linked from {r['source_document']}\n" for r in broken] or ["None.\n"]
     return "".join(out)

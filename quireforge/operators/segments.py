@@ -118,8 +118,11 @@ def pack_chunks(title: Column, bodies: Column, atomic: Column, most: int = CHUNK
 
 
 def section_id(doc_id: Column, idx: Column) -> Column:
-    ok = (idx < SECTIONS_PER_DOC) & (doc_id >= 0) & (doc_id < (1 << 32))
-    return F.when(ok | idx.isNull(), doc_id * SECTIONS_PER_DOC + idx).otherwise(F.raise_error(F.lit("more sections than ids")).cast("long"))
+    """A positive id: by place for the first ``SECTIONS_PER_DOC`` sections of documents below 2^32; else, from 2^62 on, a
+    hash of both, so that a document can have any id and any number of sections."""
+    placed = (idx < SECTIONS_PER_DOC) & doc_id.between(0, (1 << 32) - 1)
+    hashed = F.xxhash64(doc_id.cast("long"), idx.cast("long"), F.lit("section")).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    return F.when(placed, doc_id * SECTIONS_PER_DOC + idx).when(idx.isNotNull() & doc_id.isNotNull(), hashed)
 
 
 def chunk_id(section_id: Column, ord_: Column) -> Column:
@@ -145,9 +148,10 @@ def recognized_sections(sections: DataFrame, pack: Pack) -> DataFrame:
 def build_chunks(sections: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
     """The chunks table of recognised sections: ord counts from 0 in each section, doc_ord orders within a document."""
     texts = pack_chunks(F.col("title"), F.transform("bodies", lambda b: b["text"]), F.col("atomic"), most)
-    each = sections.select("doc_id", "section_id", "start_page", "end_page", "atomic", F.posexplode(texts).alias("ord", "text"))
-    # doc_ord counts in a document only, so it has room for 2^42 chunks of a section.
-    doc_ord = F.pmod("section_id", F.lit(SECTIONS_PER_DOC)) * F.lit(1 << 42) + F.col("ord")
+    idx = F.col("idx") if "idx" in sections.columns else F.pmod("section_id", F.lit(SECTIONS_PER_DOC))
+    each = sections.select("doc_id", "section_id", idx.alias("idx"), "start_page", "end_page", "atomic", F.posexplode(texts).alias("ord", "text"))
+    # doc_ord counts in a document only, so it has room for 2^31 sections and 2^31 chunks of each.
+    doc_ord = F.col("idx").cast("long") * F.lit(1 << 31) + F.col("ord")
     return each.select(
         chunk_id(F.col("section_id"), F.col("ord")).alias("id"), "doc_id", "section_id", "start_page", "end_page", "ord", doc_ord.alias("doc_ord"),
         F.when(F.col("atomic"), "definition").otherwise("prose").alias("kind"), "text", tx.token_estimate(F.col("text")).alias("token_est"),

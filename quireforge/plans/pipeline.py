@@ -65,9 +65,10 @@ def save(g: dict[str, DataFrame], root: str, run: str) -> str:
     out = fs.create(staged, True)
     out.write(bytearray(run.encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(staged, target)
+    # One step that replaces the pointer: there is always an old or a new one.
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, target, options)
     return f"{root}/{run}"
 
 

@@ -42,26 +42,29 @@ def _structured(fetch):
             for path, reader, content in zip(frame["path"], frame["reader"], frame["content"], strict=True):
                 text = bytes(content).decode("utf-8", "replace")
                 stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                if reader == "markdown":
-                    values, body = frontmatter.split(text)
-                    given = values.get("title")
-                    docs = [(path, given if isinstance(given, str) and given else stem, frontmatter.to_json(values), markdown.parse(body))]
-                elif reader == "asciidoc":
-                    values, blocks = asciidoc.parse(text)
-                    docs = [(path, asciidoc.title(values, blocks, stem), frontmatter.to_json(values), blocks)]
-                else:
-                    docs = [(url, title, None, blocks) for url, title, blocks in urls.documents(text, fetch or urls.http_fetch)]
-                rows += [(p, t, reader, j, [{"kind": k, "text": x, "heading_level": n} for k, x, n in b]) for p, t, j, b in docs]
-            yield pd.DataFrame(rows, columns=["path", "title", "reader", "frontmatter", "blocks"])
+                try:
+                    if reader == "markdown":
+                        values, body = frontmatter.split(text)
+                        given = values.get("title")
+                        docs = [(path, given if isinstance(given, str) and given else stem, frontmatter.to_json(values), markdown.parse(body), None)]
+                    elif reader == "asciidoc":
+                        values, blocks = asciidoc.parse(text)
+                        docs = [(path, asciidoc.title(values, blocks, stem), frontmatter.to_json(values), blocks, None)]
+                    else:
+                        docs = [(url, title, None, blocks, error) for url, title, blocks, error in urls.documents(text, fetch or urls.http_fetch)]
+                except Exception as x:  # noqa: BLE001
+                    docs = [(path, None, None, [], f"{type(x).__name__}: {x}")]
+                rows += [(p, t, reader, j, [{"kind": k, "text": x, "heading_level": n} for k, x, n in b], e) for p, t, j, b, e in docs]
+            yield pd.DataFrame(rows, columns=["path", "title", "reader", "frontmatter", "blocks", "error"])
 
     return run
 
 
 def structured_documents(files: DataFrame, fetch=None) -> DataFrame:
-    """(path, title, reader, frontmatter, blocks) of the files whose format tells its structure; an address list gives
-    one document for each address."""
+    """(path, title, reader, frontmatter, blocks, error) of the files whose format tells its structure; an address list
+    gives one document for each address. What can't be read has an error and nothing else; the others go on."""
     routed = files.where(F.col("reader").isin("markdown", "asciidoc", "urls")).select("path", "reader", "content")
-    return routed.mapInPandas(_structured(fetch), f"path string, title string, reader string, frontmatter string, blocks {BLOCKS}")
+    return routed.mapInPandas(_structured(fetch), f"path string, title string, reader string, frontmatter string, blocks {BLOCKS}, error string")
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCAN_DPI = 300
+SCAN_DPI, PAGES_AT_ONCE = 300, 16
 WORDS = "page_no int, width double, height double, text string, x0 double, y0 double, x1 double, y1 double, confidence float"
 IMAGES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
 
@@ -76,43 +76,60 @@ def _run(args: list[str], **env: str) -> bytes:
     return subprocess.run(args, capture_output=True, check=True, env=os.environ | env).stdout
 
 
+def _said(x: Exception) -> str:
+    """What went wrong, with what an outside program wrote about it."""
+    told = (getattr(x, "stderr", None) or b"").decode("utf-8", "replace").strip()
+    return f"{type(x).__name__}: {x} {told}".strip()
+
+
 def _native(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in WORDS.split(", ")]
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"], strict=True):
-            with tempfile.TemporaryDirectory() as d:
-                file = os.path.join(d, "in.pdf")
-                with open(file, "wb") as f:
-                    f.write(content)
-                rows = parse_bbox(_run(["pdftotext", "-bbox-layout", file, "-"]).decode("utf-8", "replace"))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in WORDS.split(", ")])
+            error = None
+            try:
+                with tempfile.TemporaryDirectory() as d:
+                    file = os.path.join(d, "in.pdf")
+                    with open(file, "wb") as f:
+                        f.write(content)
+                    rows = parse_bbox(_run(["pdftotext", "-bbox-layout", file, "-"]).decode("utf-8", "replace"))
+            except Exception as x:  # noqa: BLE001
+                rows, error = [(None,) * len(names)], _said(x)
+            out = pd.DataFrame(rows, columns=names)
             out.insert(0, "path", path)
-            yield out
+            yield out.assign(error=error)
 
 
 def native_words(files: DataFrame) -> DataFrame:
-    """(path, words) of binary files (path, content)."""
-    return files.select("path", "content").mapInPandas(_native, f"path string, {WORDS}")
+    """(path, words, error) of binary files (path, content). A file that can't be read gives one row with an error and no
+    words; the others go on."""
+    return files.select("path", "content").mapInPandas(_native, f"path string, {WORDS}, error string")
 
 
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = []
-        for path, content, no in zip(frame["path"], frame["content"], frame["page_no"], strict=True):
+        for path, content, numbers in zip(frame["path"], frame["content"], frame["numbers"], strict=True):
+            rows = []
             with tempfile.TemporaryDirectory() as d:
                 file = os.path.join(d, "in.pdf")
                 with open(file, "wb") as f:
                     f.write(content)
-                _run(["pdftoppm", "-r", str(SCAN_DPI), "-png", "-f", str(no), "-l", str(no), "-singlefile", file, os.path.join(d, "page")])
-                # One thread a page: pages are the unit of parallel work.
-                tsv = _run(["tesseract", os.path.join(d, "page.png"), "-", "--psm", "3", "tsv"], OMP_THREAD_LIMIT="1")
-            rows.append((path, no, tsv.decode("utf-8", "replace")))
-        yield pd.DataFrame(rows, columns=["path", "page_no", "tsv"])
+                for no in map(int, numbers):
+                    try:
+                        _run(["pdftoppm", "-r", str(SCAN_DPI), "-png", "-f", str(no), "-l", str(no), "-singlefile", file, os.path.join(d, "page")])
+                        # One thread a page: parts of files are the unit of parallel work.
+                        rows.append((path, no, _run(["tesseract", os.path.join(d, "page.png"), "-", "--psm", "3", "tsv"], OMP_THREAD_LIMIT="1").decode("utf-8", "replace")))
+                    except Exception:  # noqa: BLE001
+                        # A page that can't be scanned keeps its native words.
+                        continue
+            yield pd.DataFrame(rows, columns=["path", "page_no", "tsv"])
 
 
 def scanned_words(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """Words of the given pages (path, page_no) by OCR, one task row a page."""
-    todo = pages.join(files, "path")
-    tsv = todo.repartition("path", "page_no").mapInPandas(_scan, "path string, page_no int, tsv string")
+    """Words of the given pages (path, page_no) by OCR. A file travels once for PAGES_AT_ONCE of its pages."""
+    parts = pages.distinct().groupBy("path", F.floor(F.col("page_no") / PAGES_AT_ONCE).alias("part")).agg(F.array_sort(F.collect_list("page_no")).alias("numbers"))
+    todo = parts.join(files.select("path", "content"), "path").repartition("path", "part")
+    tsv = todo.mapInPandas(_scan, "path string, page_no int, tsv string")
     words = parse_tsv(tsv.select(F.struct("path", "page_no").alias("page_key"), "tsv"))
     return words.select("page_key.path", "page_key.page_no", "width", "height", "text", "x0", "y0", "x1", "y1", "confidence")
 
@@ -129,7 +146,9 @@ def merge_backends(native: DataFrame, scanned: DataFrame, mode: str = "auto", le
     if mode == "always":
         return scanned
     thin = thin_pages(native, least)
-    return native.join(thin, ["path", "page_no"], "left_anti").unionByName(scanned.join(thin, ["path", "page_no"], "left_semi"))
+    better = scanned.join(thin, ["path", "page_no"], "left_semi")
+    # A thin page that gave no scan stays as it was.
+    return native.join(better.select("path", "page_no").distinct(), ["path", "page_no"], "left_anti").unionByName(better)
 
 
 def parse_page_count(info: str) -> int:

@@ -39,9 +39,14 @@ def http_fetch(url: str) -> str:
 
 
 def documents(text: str, fetch: Callable[[str], str] = http_fetch):
-    """(path, title, blocks) of each address; the title is the list's, else the page's, else the address."""
+    """(path, title, blocks, error) of each address; the title is the list's, else the page's, else the address. An
+    address that can't be fetched or read has an error, no title and no blocks."""
     from . import html
 
     for url, given in parse(text):
-        title, blocks = html.parse(fetch(url))
-        yield url, given or title or url, blocks
+        try:
+            title, blocks = html.parse(fetch(url))
+        except Exception as x:  # noqa: BLE001
+            yield url, None, [], f"{type(x).__name__}: {x}"
+        else:
+            yield url, given or title or url, blocks, None

@@ -5,7 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from quireforge.config import Pack, Require, Rule
+from quireforge.config import GENERIC, Pack, Require, Rule
 from quireforge.operators import fulltext, graph, retrieve, segments
 from quireforge.plans import pipeline
 
@@ -237,3 +237,15 @@ def test_contradictions_and_orphans(spark):
     edges = spark.createDataFrame([(1, 9)], "src_id long, dst_id long")
     m = spark.createDataFrame([(5, 2)], "chunk_id long, entity_id long")
     assert [r["name"] for r in retrieve.orphans(e, edges, m).collect()] == ["C"]
+
+
+def test_any_document_id(spark):
+    """Ids of sections and chunks are distinct for ids of any size, also negative ones, and keep the order of a document."""
+    blocks = spark.createDataFrame([(d, "D", 1, i, i + 1000 * n, "heading" if i % 2 == 0 else "body", f"t{i}", 1 + i // 2) for n, d in enumerate((5, -7, 2**40, 2**63 - 1)) for i in range(6)], "doc_id long, doc_title string, page_no int, ord int, id long, kind string, text string, heading_level int")
+    found = segments.recognized_sections(segments.build_sections(blocks), GENERIC)
+    rows = found.select("section_id", "doc_id", "idx", segments.section_id(found["doc_id"], found["parent_idx"]).alias("up")).collect()
+    assert len({r["section_id"] for r in rows}) == 12 and all(r["section_id"] > 0 for r in rows)
+    at = {(r["doc_id"], r["idx"]): r["section_id"] for r in rows}
+    assert all(r["up"] == (at[r["doc_id"], r["idx"] - 1] if r["idx"] else None) for r in rows)
+    chunks = segments.build_chunks(found).orderBy("doc_id", "doc_ord").collect()
+    assert len({c["id"] for c in chunks}) == 12 and [c["text"][:2] for c in chunks] == ["t0", "t2", "t4"] * 4

@@ -43,7 +43,9 @@ def test_urls():
     with pytest.raises(ValueError):
         urls.parse("ftp://x")
     got = list(urls.documents("/// Given\nhttp://a\nhttp://b", lambda u: "<title>Own</title><p>x" if u.endswith("a") else "<p>y"))
-    assert [(p, t) for p, t, _ in got] == [("http://a", "Given"), ("http://b", "http://b")]
+    assert [(p, t, e) for p, t, _, e in got] == [("http://a", "Given", None), ("http://b", "http://b", None)]
+    got = list(urls.documents("http://dead\nhttp://b", lambda u: "<p>y" if u.endswith("b") else 1 / 0))
+    assert [(p, t, bool(b), e) for p, t, b, e in got] == [("http://dead", None, False, "ZeroDivisionError: division by zero"), ("http://b", "http://b", True, None)]
 
 
 def test_plain_words(spark):
@@ -61,13 +63,14 @@ def test_row_blocks(spark):
 
 
 def test_sqlite_source(spark, tmp_path):
-    path = str(tmp_path / "npcs.sqlite")
+    path = str(tmp_path / "tide.sqlite")
     con = sqlite3.connect(path)
-    con.execute("CREATE TABLE npcs(name TEXT, level INTEGER, gold REAL, notes TEXT, raw BLOB)")
-    con.execute("INSERT INTO npcs VALUES ('Strand', 20, 0.0, NULL, x'0102')")
+    con.execute("CREATE TABLE gauges(harbour TEXT PRIMARY KEY, seal BLOB, depth_m REAL, readings INTEGER, closed_on TEXT)")
+    con.executemany("INSERT INTO gauges VALUES (?, ?, ?, ?, ?)", [("North quay", b"abcd", 7.25, -3, None), ("Old lock", None, 12.0, 0, "1911-04-02")])
     con.commit()
     con.close()
-    assert [tuple(r) for r in sql.read_sqlite(spark, path, "SELECT * FROM npcs").collect()] == [("Strand", "20", "0", "", "<2 bytes>")]
+    got = [tuple(r) for r in sql.read_sqlite(spark, path, "SELECT harbour, depth_m, readings, closed_on, seal FROM gauges ORDER BY depth_m").collect()]
+    assert got == [("North quay", "7.25", "-3", "", "<4 bytes>"), ("Old lock", "12", "0", "1911-04-02", "")]
     with pytest.raises(ValueError):
         sql.read_source(spark, config.Source("x", "oracle9", "", []), config.SourceQuery("q", "SELECT 1"))
 
