@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import Pack, Require, Rule
 from ..functions import text as tx
-from ..operators import graph, segments
+from ..operators import graph, retrieve, segments
 from ..session import table
 from . import query
 from .text import slug_sql
@@ -215,21 +215,32 @@ def document_aliases(spark, d):
     return graph.aliases_of(docs, docs.select("doc_id", F.col("doc_id").alias("entity_id"))).select("entity_id", "norm", "alias")
 
 
-def _rank_sql(rounds: int = 20) -> str:
-    steps = [f"WITH {_SUPPLIERS}, e AS (SELECT src_id AS a, dst_id AS b, n FROM pairs UNION ALL SELECT dst_id, src_id, n FROM pairs), s AS (SELECT a, sum(n) AS total FROM e GROUP BY 1), "]
-    steps.append("f AS MATERIALIZED (SELECT e.a, e.b, e.n / s.total AS share FROM e JOIN s USING (a)), ids AS (SELECT s_suppkey AS id FROM supplier), r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM ids) AS rank FROM ids)")
+@query("alias_lookup", r"""WITH t AS (SELECT doc_id, title, bytes, lower(regexp_replace(trim(unnest(json_extract_string(frontmatter, '$.aliases[*]'))), '\s+', ' ', 'g')) AS norm FROM documents WHERE frontmatter IS NOT NULL)
+SELECT DISTINCT doc_id AS id, title AS name, CAST(bytes AS DOUBLE) AS centrality FROM t WHERE norm = (SELECT min(norm) FROM t) ORDER BY centrality DESC NULLS LAST, id LIMIT 1""")
+def alias_lookup(spark, d):
+    """The largest of the documents that have the first of all aliases."""
+    docs = table(spark, d, "documents")
+    aliases = graph.aliases_of(docs, docs.select("doc_id", F.col("doc_id").alias("entity_id")))
+    first = aliases.agg(F.min("norm")).first()[0]
+    entities = docs.select(F.col("doc_id").alias("id"), F.col("title").alias("name"), F.col("bytes").cast("double").alias("centrality"))
+    return retrieve.by_alias(entities, aliases, first or "").select("id", "name", "centrality")
+
+
+def _rank_sql(pairs: str, nodes: str, digits: int, rounds: int = 20) -> str:
+    steps = [f"WITH {pairs}, e AS (SELECT src_id AS a, dst_id AS b, n FROM pairs UNION ALL SELECT dst_id, src_id, n FROM pairs), s AS (SELECT a, sum(n) AS total FROM e GROUP BY 1), "]
+    steps.append("f AS MATERIALIZED (SELECT e.a, e.b, e.n / s.total AS share FROM e JOIN s USING (a)), ids AS (" + nodes + "), r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM ids) AS rank FROM ids)")
     for i in range(rounds):
         steps.append(f", r{i + 1} AS MATERIALIZED (SELECT ids.id, 0.15 / (SELECT count(*) FROM ids) + 0.85 * coalesce(sum(f.share * r.rank), 0) AS rank FROM ids LEFT JOIN f ON f.b = ids.id LEFT JOIN r{i} r ON r.id = f.a GROUP BY 1)")
-    return "".join(steps) + f" SELECT id, round(rank, 6) AS rank FROM r{rounds}"
+    return "".join(steps) + f" SELECT id, round(rank, {digits}) AS rank FROM r{rounds}"
 
 
-@query("pagerank_suppliers", _rank_sql())
+@query("pagerank_suppliers", _rank_sql(_SUPPLIERS, "SELECT s_suppkey AS id FROM supplier", 6))
 def pagerank_suppliers(spark, d):
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
     return graph.pagerank(nodes, _supplier_edges(spark, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query("pagerank_parts")
+@query("pagerank_parts", _rank_sql(_SUPPLIERS.replace("l_suppkey", "l_partkey"), "SELECT p_partkey AS id FROM part", 9))
 def pagerank_parts(spark, d):
     pairs = graph.cooccurrences(_parts(spark, d)).select("src_id", "dst_id", F.lit(1.0).alias("weight"))
     return graph.pagerank(table(spark, d, "part").select(F.col("p_partkey").alias("id")), pairs).select("id", F.round("rank", 9).alias("rank"))

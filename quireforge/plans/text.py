@@ -86,7 +86,7 @@ def token_estimates(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("byte_prefixes")
+@query("byte_prefixes", "SELECT doc_id, left(\"text\", list_max(list_filter(range(0, 401), lambda n: strlen(left(\"text\", n)) <= 400))) AS prefix FROM documents")
 def byte_prefixes(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.byte_prefix(F.col("text"), 400).alias("prefix"))
 
