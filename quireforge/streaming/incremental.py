@@ -37,20 +37,32 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def _latest(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
+    """Of what the batches wrote for a key the last."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
+def _updates(stream: DataFrame, base: str, name: str) -> str:
+    """Every batch writes the groups that it changed, below its number, so that one run again writes nothing twice."""
+    path = f"{base}/{name}"
+    run_available(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"), f"{base}/checkpoint", "update")
+    return path
+
+
 def distinct_contents(spark: SparkSession, d: str) -> DataFrame:
     """(sha256, doc_id, n): counts of every content, kept as the state of a stream and pre-aggregated in each batch."""
     s = Scratch(spark, "stream")
     docs = _read(spark, d, "documents").groupBy("sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    run_available(docs, lambda df, n: df.write.mode("overwrite").parquet(f"{s.base}/contents"), f"{s.base}/checkpoint", "complete")
-    return spark.read.parquet(f"{s.base}/contents")
+    return _latest(spark, _updates(docs, s.base, "contents"), ["sha256"], ["doc_id", "n"])
 
 
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
-    """(window_start, event_type, n, total) in windows of an hour; events later than a year after newer ones would be
-    dropped by the watermark, none of one run's are."""
+    """(window_start, event_type, n, total) in windows of an hour. State of windows older than a year before the newest
+    event of the batches so far is dropped, and so are events that come later than that; none of one run's are."""
     s = Scratch(spark, "stream")
     events = _read(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "365 days")
     counted = events.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    run_available(counted, lambda df, n: df.write.mode("overwrite").parquet(f"{s.base}/windows"), f"{s.base}/checkpoint", "complete")
-    out = spark.read.parquet(f"{s.base}/windows")
+    out = _latest(spark, _updates(counted, s.base, "windows"), ["window", "event_type"], ["n", "total"])
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
