@@ -128,7 +128,23 @@ def _titled_chunks(spark, d):
     return each.select(segments.chunk_id(F.col("section_id"), F.col("ord")).alias("id"), "text"), names
 
 
-@query("gazetteer_mentions")
+# Every occurrence of a name, of those at one place the longest, then from left to right those that do not overlap; at last
+# those between word borders. Titles do not overlap themselves, so the parts between a title's occurrences tell its places.
+_MENTIONS = _CHUNKS + r""",
+ch AS (SELECT section_id * 1024 + i0 AS cid, title || chr(10) || chr(10) || l[i0 + 1] AS t FROM (SELECT section_id, title, l, unnest(range(len(l))) AS i0 FROM (SELECT section_id, title, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS l FROM f WHERE i = len(bodies)))
+ UNION ALL SELECT section_id * 1024, title || chr(10) || chr(10) || array_to_string(bodies, chr(10) || chr(10)) FROM w WHERE n <= 4800),
+low AS (SELECT cid, t, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lt FROM ch),
+names AS (SELECT translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS name, min(doc_id) AS id FROM documents WHERE length(title) >= 3 GROUP BY 1),
+held AS (SELECT cid, t, id, length(name) AS n, list_transform(string_split(lt, name), lambda x: length(x)) AS gaps FROM low JOIN names ON contains(lt, name)),
+occ AS (SELECT cid, t, id, n, unnest(list_transform(range(1, len(gaps)), lambda k: CAST(list_sum(gaps[1:k]) + (k - 1) * n AS BIGINT))) AS s FROM held),
+best AS (SELECT cid, any_value(t) AS t, s, max(n) AS n, arg_max(id, n) AS id FROM occ GROUP BY cid, s),
+walk(cid, s, e) AS (SELECT cid, s, s + n FROM best WHERE s = (SELECT min(b.s) FROM best b WHERE b.cid = best.cid)
+ UNION ALL SELECT best.cid, best.s, best.s + best.n FROM walk JOIN best ON best.cid = walk.cid AND best.s >= walk.e QUALIFY row_number() OVER (PARTITION BY best.cid ORDER BY best.s) = 1)
+SELECT cid AS chunk_id, id AS entity_id, strlen(left(t, s)) AS start_off, strlen(left(t, s + n)) AS end_off FROM walk JOIN best USING (cid, s)
+WHERE NOT (s > 0 AND regexp_matches(substr(t, s, 1), '^[A-Za-z0-9_]')) AND NOT regexp_matches(substr(t, s + n + 1, 1), '^[A-Za-z0-9_]')"""
+
+
+@query("gazetteer_mentions", _MENTIONS)
 def gazetteer_mentions(spark, d):
     return graph.find_mentions(*_titled_chunks(spark, d))
 
@@ -147,7 +163,7 @@ def field_label_mentions(spark, d):
     return found.join(names.select(F.col("id").alias("entity_id"), "name"), "entity_id").groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("n_docs"))
 
 
-@query("gazetteer_by_join")
+@query("gazetteer_by_join", _MENTIONS)
 def gazetteer_by_join(spark, d):
     """The way for gazetteers too large for one automaton, on the same input as gazetteer_mentions."""
     return graph.join_mentions(*_titled_chunks(spark, d))
