@@ -72,6 +72,30 @@ WITH parts AS (SELECT DISTINCT section_id, list_filter(list_concat([title], coal
   lambda x: x IS NOT NULL AND regexp_matches(x, '[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]')) AS p FROM built_sections),
 sized AS (SELECT section_id, strlen(array_to_string(p, chr(10) || chr(10))) AS n FROM parts)
 """
+# Each text as a shape with one character a byte: a character of several bytes becomes a sign for its kind (1 any, 3 and 4 and
+# 5 those that end sentences and clauses) and 2 for each further byte, so that bytes can be counted and matched.
+_PIECES_SQL = _SPLIT_SQL.rstrip("\n") + r""",
+items AS (SELECT *, row_number() OVER () AS item, array_to_string(p, chr(10) || chr(10)) AS t, strlen(array_to_string(p, chr(10) || chr(10))) AS total FROM parts WHERE len(p) > 0),
+shaped AS (SELECT item, section_id, t, total, list_transform(range(1, len(p)), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: strlen(x) + 2)) AS BIGINT)) AS joints,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\x01-\x05]', 'a', 'g'), '…', chr(3) || chr(2) || chr(2), 'g'), '[。！？]', chr(4) || chr(2) || chr(2), 'g'),
+    '、', chr(5) || chr(2) || chr(2), 'g'), '[\x{80}-\x{7FF}]', chr(1) || chr(2), 'g'), '[\x{800}-\x{FFFF}]', chr(1) || chr(2) || chr(2), 'g'), '[\x{10000}-\x{10FFFF}]', chr(1) || chr(2) || chr(2) || chr(2), 'g') AS shape FROM items),
+limits AS (SELECT DISTINCT profile, max_bytes, coalesce(overlap_bytes, 0) AS overlap, (max_bytes - coalesce(overlap_bytes, 0)) // 4 AS slack FROM split_profiles WHERE profile IS NOT NULL AND max_bytes IS NOT NULL),
+windows AS (SELECT *, k * s AS high, k * s - slack AS low, greatest(k * s - slack - 64, 0) AS base FROM (
+  SELECT item, joints, shape, profile, slack, s, unnest(range(1, CAST(ceil(total / s) AS BIGINT))) AS k FROM (SELECT *, max_bytes - overlap - slack AS s FROM shaped JOIN limits ON total > max_bytes))),
+seen AS (SELECT item, profile, k, low, high, base, shape, coalesce(list_max(list_filter(joints, lambda j: j > low AND j <= high)), 0) AS joint, shape[base + 1:high] AS x, shape[base + 1:high + 1] AS x1 FROM windows),
+places AS (SELECT item, profile, k, low, high, shape,
+  greatest(joint, base + length(regexp_extract(x1, '(?s)^(.*\n[ \t\r]*\n[ \t\n\r\f\v]*)[^ \t\n\r\f\v]', 1))) AS p5, base + length(regexp_extract(x, '(?s)^(.*\n)', 1)) AS p4,
+  base + length(regexp_extract(x, '(?s)^(.*(?:(?:[.!?]|\x03\x02\x02)["'')\]]{0,8}[ \t\n\r\f\v]|\x04\x02\x02))', 1)) AS p3, base + length(regexp_extract(x, '(?s)^(.*(?:[,;:][ \t\n\r\f\v]|\x05\x02\x02))', 1)) AS p2,
+  base + length(regexp_extract(x, '(?s)^(.*[ \t])', 1)) AS p1 FROM seen),
+cuts AS (SELECT item, profile, k, CASE WHEN p5 > low THEN p5 WHEN p4 > low THEN p4 WHEN p3 > low THEN p3 WHEN p2 > low THEN p2 WHEN p1 > low THEN p1
+  ELSE high - CASE WHEN shape[high + 1] <> chr(2) THEN 0 WHEN shape[high] <> chr(2) THEN 1 WHEN shape[high - 1] <> chr(2) THEN 2 ELSE 3 END END AS cut FROM places),
+spans AS (SELECT item, profile, CAST(k AS INT) AS piece, lag(cut, 1, 0) OVER (PARTITION BY item, profile ORDER BY k) AS from_, cut AS end_byte FROM cuts
+  UNION ALL SELECT c.item, c.profile, CAST(max(k) + 1 AS INT), max(cut), any_value(total) FROM cuts c JOIN items USING (item) GROUP BY 1, 2),
+starts AS (SELECT section_id, profile, piece, t, shape, greatest(from_ - CASE WHEN piece > 1 THEN overlap ELSE 0 END, 0) AS a, end_byte FROM spans JOIN shaped USING (item) JOIN limits USING (profile)),
+moved AS (SELECT *, a + CASE WHEN shape[a + 1] <> chr(2) THEN 0 WHEN shape[a + 2] <> chr(2) THEN 1 WHEN shape[a + 3] <> chr(2) THEN 2 ELSE 3 END AS start_byte FROM starts)
+SELECT section_id, profile, piece, start_byte, end_byte, substr(t, 1 + length(replace(shape[:start_byte], chr(2), '')), length(replace(shape[start_byte + 1:end_byte], chr(2), ''))) AS piece_text FROM moved
+UNION ALL SELECT section_id, profile, 1, 0, total, t FROM items JOIN limits ON total <= max_bytes
+"""
 
 
 @query("p4_found", _SPLIT_SQL + "SELECT DISTINCT section_id, profile FROM sized, split_profiles WHERE n > max_bytes")
@@ -81,7 +105,7 @@ def p4_found(spark, d):
     return found.select(F.col("item").alias("section_id"), "profile").distinct()
 
 
-@query("p4_pieces")
+@query("p4_pieces", _PIECES_SQL)
 def p4_pieces(spark, d):
     blocks = splitting.item_blocks(table(spark, d, "built_sections"), "section_id", "title", "body_blocks")
     found = splitting.pieces(blocks, table(spark, d, "split_profiles"))
