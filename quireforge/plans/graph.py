@@ -54,13 +54,37 @@ def recognized_kinds(spark, d):
     return segments.recognized_sections(segments.build_sections(indexable(spark, d)), PACK).select("doc_id", "idx", "kind")
 
 
-@query("extracted_fields")
+NARROW = Pack("near", [Rule("measure", [Require(r"holds roughly \d+")], []), Rule("place", [Require(r"\bmarket\b"), Require(r"\blantern\b", 200)], []), Rule("topic", atomic=False)])
+
+
+@query(
+    "recognized_in_window",
+    _SECTIONS + r""", near AS (SELECT doc_id, idx, left(b, list_max(list_filter(range(0, 401), lambda n: strlen(left(b, n)) <= 400))) AS far, left(b, list_max(list_filter(range(0, 201), lambda n: strlen(left(b, n)) <= 200))) AS close_
+ FROM (SELECT doc_id, idx, coalesce(body, '') AS b FROM sec))
+SELECT doc_id, idx, CASE WHEN regexp_matches(far, 'holds roughly \d+') THEN 'measure' WHEN regexp_matches(far, '\bmarket\b') AND regexp_matches(close_, '\blantern\b') THEN 'place' ELSE 'topic' END AS kind FROM near""",
+)
+def recognized_in_window(spark, d):
+    """Kinds by rules that look at the first 400 bytes, as rules do unless told otherwise, and at the first 200."""
+    return segments.recognized_sections(segments.build_sections(indexable(spark, d)), NARROW).select("doc_id", "idx", "kind")
+
+
+LABELS = ["Origin", "Weight", "Keeper", "First Recorded", "Condition", "Material", "Length", "Script", "Habitat", "Season", "Toll"]
+
+
+def _fields_sql() -> str:
+    """Labels that no letter or digit stands before get a mark; a value ends before the mark of another label."""
+    pick = lambda x: r"'(?s)\x01" + x + r"\s*:*\s*(.*?)\s*(?:\n\s*\n|\z|\x01(?:" + "|".join(y for y in LABELS if y != x) + "))'"
+    pairs = ", ".join(f"{{key: '{x}', value: replace(regexp_extract(marked, {pick(x)}, 1), chr(1), '')}}" for x in LABELS)
+    return rf"""WITH b AS (SELECT DISTINCT section_id, regexp_replace(array_to_string(list_transform(body_blocks, lambda b: b."text"), chr(10) || chr(10)), '(^|[^A-Za-z0-9])({"|".join(LABELS)})', '\1' || chr(1) || '\2', 'g') AS marked
+ FROM built_sections WHERE body_blocks IS NOT NULL), f AS (SELECT section_id, unnest([{pairs}]) AS f FROM b) SELECT section_id, f.key AS key, f.value AS value FROM f WHERE f.value <> ''"""
+
+
+@query("extracted_fields", _fields_sql())
 def extracted_fields(spark, d):
     """Fields of built_sections by the proper labels."""
-    labels = ["Origin", "Weight", "Keeper", "First Recorded", "Condition", "Material", "Length", "Script", "Habitat", "Season", "Toll"]
     body = segments.body_text(F.col("body_blocks"))
     rows = table(spark, d, "built_sections").where("body_blocks is not null").dropDuplicates(["section_id"])
-    each = rows.select("section_id", F.explode(segments.extract_fields(body, labels)).alias("f"))
+    each = rows.select("section_id", F.explode(segments.extract_fields(body, LABELS)).alias("f"))
     return each.select("section_id", "f.key", "f.value")
 
 
