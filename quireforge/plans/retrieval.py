@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import fulltext, graph, retrieve
 from ..session import table
-from . import pipeline, query
+from . import ORACLES, QUERIES, pipeline, query
 from .graph import _SUPPLIERS, _supplier_edges
 from .text import slug_sql
 
@@ -73,13 +73,16 @@ def contradictions(spark, d):
     return found.select("entity_id", "entity", "key", "n_values", text.alias("stated"))
 
 
-@query("orphans", "SELECT id, name FROM entities WHERE id NOT IN (SELECT entity_id FROM entity_fields WHERE doc_id IN (SELECT doc_id FROM documents WHERE deleted_at IS NULL)) AND id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 3)")
+@query(
+    "orphans",
+    f"WITH e AS ({ORACLES['link_resolution']}) SELECT doc_id AS id, title AS name FROM documents WHERE doc_id NOT IN (SELECT src_id FROM e UNION ALL SELECT dst_id FROM e) "
+    "AND doc_id NOT IN (SELECT doc_id FROM entity_fields WHERE doc_id IS NOT NULL)",
+)
 def orphans(spark, d):
-    """Entities without a live statement and without a small line item of their number, as stand-ins for edges and mentions."""
-    live = _docs(spark, d).where("deleted_at is null").select("doc_id")
-    mentions = table(spark, d, "entity_fields").join(live, "doc_id", "left_semi").select("entity_id")
-    edges = table(spark, d, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("src_id"), F.col("l_partkey").alias("dst_id"))
-    return retrieve.orphans(table(spark, d, "entities"), edges, mentions)
+    """Documents that no resolved link joins to another and that state nothing about any entity."""
+    stated = table(spark, d, "entity_fields").select(F.col("doc_id").alias("entity_id"))
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("title").alias("name"))
+    return retrieve.orphans(docs, QUERIES["link_resolution"](spark, d), stated)
 
 
 @query(
