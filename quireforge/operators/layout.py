@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator, Mapping
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ..arrow import whole_groups
 from ..functions import text as tx
+from ..scratch import Scratch
 
 # The limits of the layout.
 LEAST_WORDS, BINS, LOW_DENSITY, GUTTER_SHARE, SIDE_SHARE, SPAN_SHARE = 8, 200, 2, 0.02, 0.1, 0.3
 LINE_REACH, BLOCK_GAP, TALLER = 0.6, 1.6, 1.05
+LEAST_GAPS, LEAST_GAP, EQUAL_GAPS = 6, 0.05, 1.79
 EDGE_SHARE, CHROME_PAGES, CHROME_LEAST, CHROME_SHARE = 0.12, 3, 4, 0.5
+PAGE = "doc_id long, page_no int, width double, height double"
 OUT = "col int, ord int, x0 double, y0 double, x1 double, y1 double, kind string, text string"
+WORD = np.dtype([("text", object), ("x0", float), ("y0", float), ("x1", float), ("y1", float)])
 
 
 def gutter(x0: np.ndarray, x1: np.ndarray, width: float) -> float | None:
@@ -41,29 +52,34 @@ def gutter(x0: np.ndarray, x1: np.ndarray, width: float) -> float | None:
     return (starts[best] + ends[best]) / 2 * step
 
 
-def columns_of(w: pd.DataFrame, width: float) -> list[pd.DataFrame]:
+def columns_of(w: np.ndarray, width: float) -> list[np.ndarray]:
     """The words as one or two columns, left first."""
-    if len(w) < LEAST_WORDS or width <= 0 or (x := gutter(w["x0"].to_numpy(), w["x1"].to_numpy(), width)) is None:
+    if len(w) < LEAST_WORDS or width <= 0 or (x := gutter(np.asarray(w["x0"]), np.asarray(w["x1"]), width)) is None:
         return [w]
     left, right = w[w["x0"] < x], w[w["x0"] >= x]
-    span = lambda d: (d["y1"].max() - d["y0"].min()) if len(d) else 0.0
+    span = lambda d: (np.fmax.reduce(d["y1"]) - np.fmin.reduce(d["y0"])) if len(d) else 0.0
     whole = max(span(w), 1.0)
     if min(len(left), len(right)) / len(w) < SIDE_SHARE or min(span(left), span(right)) / whole < SPAN_SHARE:
         return [w]
     return [left, right]
 
 
-def lines_of(w: pd.DataFrame) -> list[pd.DataFrame]:
-    """Lines from top to bottom: a word belongs to a line if its middle is near that of the line's first word."""
-    w = w.sort_values("y0", kind="stable")
-    middle, height = ((w["y0"] + w["y1"]) / 2).to_numpy(), np.maximum(np.maximum(w["y1"] - w["y0"], 0).to_numpy(), 1.0)
-    groups, start = [], 0
-    for i in range(1, len(w)):
+def lines_of(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words line by line from top to bottom, and the places where lines begin: a word belongs to a line if its
+    middle is near that of the line's first word."""
+    w = w[np.argsort(w["y0"], kind="stable")]
+    middle, height = (w["y0"] + w["y1"]) / 2, np.maximum(np.maximum(w["y1"] - w["y0"], 0), 1.0)
+    # A word at the height of the one before it is in that one's line.
+    other = np.flatnonzero((middle[1:] != middle[:-1]) | (height[1:] != height[:-1])) + 1
+    middle, height = middle.tolist(), height.tolist()
+    starts, start = [0], 0
+    for i in other.tolist():
         if abs(middle[i] - middle[start]) > max(height[start], height[i]) * LINE_REACH:
-            groups.append((start, i))
+            starts.append(i)
             start = i
-    groups.append((start, len(w)))
-    return [w.iloc[a:b].sort_values("x0", kind="stable") for a, b in groups if b > a]
+    line = np.zeros(len(w), int)
+    line[starts[1:]] = 1
+    return w[np.lexsort((w["x0"], line.cumsum()))], np.array(starts)
 
 
 def fragmented(texts: list[str]) -> bool:
@@ -72,33 +88,50 @@ def fragmented(texts: list[str]) -> bool:
     return len(n) >= 20 and n.mean() < 4.2 and (n <= 2).mean() > 0.30
 
 
-def gaps_of(line: pd.DataFrame) -> np.ndarray:
-    return np.maximum(line["x0"].to_numpy()[1:] - line["x1"].to_numpy()[:-1], 0.0)
+def gaps_of(w: np.ndarray) -> np.ndarray:
+    return np.maximum(w["x0"][1:] - w["x1"][:-1], 0.0)
 
 
 def two_means(values: np.ndarray) -> tuple[float, float]:
     low, high = float(values.min()), float(values.max())
     for _ in range(10):
+        before = low, high
         near = np.abs(values - low) <= np.abs(values - high)
         low = float(values[near].mean()) if near.any() else low
         high = float(values[~near].mean()) if (~near).any() else high
+        if (low, high) == before:
+            break
     return low, high
 
 
 def merge_threshold(gaps: np.ndarray) -> float | None:
     """Where gaps inside words end and those between words begin; null if the gaps do not fall in two groups."""
-    if len(gaps) < 6:
+    if len(gaps) < LEAST_GAPS:
         return None
     low, high = sorted(two_means(gaps))
-    return None if high < 1e-6 or high / max(low, 0.05) < 1.8 else (low + high) / 2
+    return None if high < 1e-6 or high / max(low, LEAST_GAP) < 1.8 else (low + high) / 2
+
+
+def thresholds_of(w: np.ndarray, starts: np.ndarray) -> list[float | None]:
+    """merge_threshold of each line. Means lie between the least and the largest gap, so that lines of about equal gaps,
+    which are most, need none."""
+    gaps, ends = gaps_of(w), np.append(starts[1:], len(w))
+    before = np.concatenate([[0.0], gaps])
+    before[starts] = 0.0
+    high = np.maximum.reduceat(before, starts)
+    before[starts] = np.inf
+    low = np.minimum.reduceat(before, starts)
+    out: list[float | None] = [None] * len(starts)
+    for i in np.flatnonzero((ends - starts > LEAST_GAPS) & ~(high < EQUAL_GAPS * np.maximum(low, LEAST_GAP))).tolist():
+        out[i] = merge_threshold(gaps[starts[i] : ends[i] - 1])
+    return out
 
 
-def merge_words(line: pd.DataFrame, threshold: float | None) -> list[str]:
-    texts = line["text"].tolist()
+def merge_words(texts: list[str], gaps: np.ndarray, threshold: float | None) -> list[str]:
     if threshold is None or len(texts) < 2:
         return texts
     out = [texts[0]]
-    for gap, text in zip(gaps_of(line), texts[1:], strict=True):
+    for gap, text in zip(gaps.tolist(), texts[1:], strict=True):
         if gap <= threshold:
             out[-1] += text
         else:
@@ -107,35 +140,53 @@ def merge_words(line: pd.DataFrame, threshold: float | None) -> list[str]:
 
 
 def is_heading(text: str, height: float, median: float) -> bool:
+    """At least 4 of: short (1), no stop at the end (1), capitals only or at the start of each word (2), tall (1). So
+    there must be capitals; a text of capitals only has them at the start of each word."""
     s = text.strip()
-    if not s:
+    if not s or (len(s) < 60) + (s[-1] not in ".,;") + (height > median * TALLER) < 2:
         return False
-    letters = [c for c in s if c.isalpha()]
-    caps = bool(letters) and all(c.isupper() for c in letters)
-    firsts = [next((c for c in w if c.isalpha()), None) for w in s.split()]
-    title = bool(letters) and all(c is None or c.isupper() for c in firsts)
-    return (len(s) < 60) + (s[-1] not in ".,;") + 2 * (caps or title) + (height > median * TALLER) >= 4
+    letters = False
+    for w in s.split():
+        first = next((c for c in w if c.isalpha()), None)
+        if first is not None:
+            if not first.isupper():
+                return False
+            letters = True
+    return letters
 
 
 def _median(v: list[float], empty: float) -> float:
     return max(sorted(v)[len(v) // 2], 1.0) if v else empty
 
 
+def words_of(columns: Mapping) -> np.ndarray:
+    """Words as an array with the fields of WORD, from columns by name."""
+    w = np.empty(len(columns["x0"]), WORD)
+    for c in WORD.names:
+        w[c] = columns[c]
+    return w
+
+
 def layout_page(words: pd.DataFrame, width: float) -> list[tuple]:
     """(col, ord, x0, y0, x1, y1, kind, text) of the blocks of one page; ord runs on over the columns."""
-    cols = [lines_of(c) if len(c) else [] for c in columns_of(words, width)]
-    thresholds = [merge_threshold(gaps_of(line)) for c in cols for line in c]
-    sure = sorted(t for t in thresholds if t is not None)
+    return layout_words(words_of(words), width)
+
+
+def layout_words(words: np.ndarray, width: float) -> list[tuple]:
+    """layout_page of an array of WORD."""
+    cols = [lines_of(c) if len(c) else None for c in (columns_of(words, width) if len(words) else [])]
+    thresholds = [thresholds_of(*c) if c else [] for c in cols]
+    sure = sorted(t for c in thresholds for t in c if t is not None)
     fallback = sure[len(sure) // 2] if sure and fragmented(words["text"].tolist()) else None
-    at = iter(thresholds)
     made = []
-    for c in cols:
-        rows = []
-        for line in c:
-            own = next(at)
-            text = " ".join(merge_words(line, own if own is not None else fallback))
-            rows.append((line["x0"].min(), line["y0"].min(), line["x1"].max(), line["y1"].max(), text))
-        made.append(rows)
+    for c, own in zip(cols, thresholds, strict=True):
+        if not c:
+            made.append([])
+            continue
+        w, starts = c
+        all_texts, gaps, at = w["text"].tolist(), gaps_of(w), [*starts.tolist(), len(w)]
+        texts = [" ".join(merge_words(all_texts[a:b], gaps[a : b - 1], t if t is not None else fallback)) for a, b, t in zip(at, at[1:], own, strict=False)]
+        made.append(list(zip(*(f.reduceat(w[n], starts).tolist() for f, n in ((np.fmin, "x0"), (np.fmin, "y0"), (np.fmax, "x1"), (np.fmax, "y1"))), texts, strict=True)))
     median = _median([r[3] - r[1] for c in made for r in c], 10.0)
     out = []
     for col, rows in enumerate(made):
@@ -156,16 +207,22 @@ def layout_page(words: pd.DataFrame, width: float) -> list[tuple]:
 
 def layout_pages(words: DataFrame) -> DataFrame:
     """Blocks of each page (doc_id, page_no, width, height and OUT) from its words (doc_id, page_no, width, height,
-    text, x0, y0, x1, y1). A page is the group, so a group is as large as a page. Pages without words have no blocks."""
-    names = [c.split()[0] for c in OUT.split(", ")]
+    text, x0, y0, x1, y1). A page is the group, so a group is as large as a page. Pages without words have no blocks.
+    Words at one place stand in the order of their ends and texts."""
+    schema = to_arrow_schema(StructType.fromDDL(f"{PAGE}, {OUT}"))
 
-    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        width, height = float(page["width"].iloc[0]), float(page["height"].iloc[0])
-        out = pd.DataFrame(layout_page(page.reset_index(drop=True), width), columns=names)
-        return out.assign(doc_id=key[0], page_no=key[1], width=width, height=height)[["doc_id", "page_no", "width", "height", *names]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches, ["doc_id", "page_no"]):
+            w = words_of({c: t[c].to_numpy() for c in WORD.names})
+            pages = zip(*(t[c].take(pa.array(starts)).to_pylist() for c in ("doc_id", "page_no", "width", "height")), strict=True)
+            ends = np.append(starts[1:], len(w))
+            out = [(*p, *b) for p, low, high in zip(pages, starts.tolist(), ends.tolist(), strict=True) for b in layout_words(w[low:high], math.nan if p[2] is None else p[2])]
+            cells = list(zip(*out, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
 
-    good = words.where("text is not null and x0 is not null")
-    return good.groupBy("doc_id", "page_no").applyInPandas(run, f"doc_id long, page_no int, width double, height double, {OUT}")
+    good = words.where("text is not null and x0 is not null").select("doc_id", "page_no", "width", "height", *WORD.names)
+    order = [F.col(c).asc_nulls_last() for c in ("y0", "x0", "x1", "y1", "text", "width", "height")]
+    return good.repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", *order).mapInArrow(run, f"{PAGE}, {OUT}")
 
 
 def chrome_candidates(blocks: DataFrame) -> DataFrame:
@@ -191,7 +248,8 @@ def repeated_chrome(candidates: DataFrame) -> DataFrame:
 
 
 def strip_chrome(blocks: DataFrame) -> DataFrame:
-    """blocks with kind chrome where a running line was found."""
+    """blocks with kind chrome where a running line was found. The blocks are made once, as they are read several times."""
+    blocks = Scratch(blocks.sparkSession, "layout").cut(blocks)
     found = repeated_chrome(chrome_candidates(blocks)).select("doc_id", "page_no", "ord", F.lit(True).alias("running")).distinct()
     return blocks.join(found, ["doc_id", "page_no", "ord"], "left").withColumn("kind", F.when(F.col("running"), "chrome").otherwise(F.col("kind"))).drop("running")
 

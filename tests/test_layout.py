@@ -65,3 +65,37 @@ def test_pages_of_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, page_no int, width double, height double, text string, x0 double, y0 double, x1 double, y1 double")
     got = lo.layout_pages(df).collect()
     assert [(r["page_no"], r["kind"], r["text"]) for r in got] == [(1, "body", "Only Words")] or got[0]["kind"] == "heading"
+
+
+def test_blocks_are_made_once(spark):
+    rows = [(1, p, 800.0, 0, 20.0, 30.0, "body", f"Page Head {p}") for p in range(1, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, height double, ord int, y0 double, y1 double, kind string, text string")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    got = lo.strip_chrome(df.mapInArrow(count, df.schema))
+    assert [r["kind"] for r in got.collect()] == ["chrome"] * 5 and made.value == 5
+
+
+def test_pages_span_batches(spark):
+    rows = [(d, p, 600.0, 800.0, *w[:3], w[1] + w[3], w[2] + w[4]) for d in (3, None) for p in (1, 2) for i in range(6) for w in line(f"some words of line {i} on page {p}", 50.0, 20.0 + 11 * i)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, width double, height double, text string, x0 double, y0 double, x1 double, y1 double")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "5")
+    try:
+        got = lo.layout_pages(df.repartition(7)).collect()
+    finally:
+        spark.conf.set(size, before)
+    want = {p: " ".join(f"some words of line {i} on page {p}" for i in range(6)) for p in (1, 2)}
+    assert sorted((r["doc_id"] or 0, r["page_no"], r["text"]) for r in got) == [(d, p, want[p]) for d in (0, 3) for p in (1, 2)]
+
+
+def test_words_at_one_place_have_one_order(spark):
+    rows = [(1, 1, 600.0, 800.0, t, 50.0, 20.0, 60.0, 30.0) for t in "cab"]
+    schema = "doc_id long, page_no int, width double, height double, text string, x0 double, y0 double, x1 double, y1 double"
+    assert {lo.layout_pages(spark.createDataFrame(r, schema)).first()["text"] for r in (rows, rows[::-1])} == {"a b c"}
